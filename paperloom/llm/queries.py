@@ -42,3 +42,49 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p4_found, p4_groups)}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.names import variant_pairs
+    from paperloom.operators.split_values import split_values
+
+    return variant_pairs(split_values(_read(spark, d, "candidates"), "cand_no", ("authors",), ("authors",), single=True))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.leak import leaked
+
+    return leaked(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.leak import report
+
+    return report(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.mixing import mix
+
+    return mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.spans import sharing_pairs
+
+    return sharing_pairs(_read(spark, d, "documents"))
+
+
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.spans import coverage
+
+    return coverage(_read(spark, d, "documents"))
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.spans import shared_spans
+
+    return shared_spans(_read(spark, d, "documents"))[1]
+
+
+QUERIES |= {f.__name__: f for f in (p5_found, p6_found, p6_items, p7_mix, p8_found, p8_coverage, p8_spans)}
