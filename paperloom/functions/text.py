@@ -12,6 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def col(c: Column | str) -> Column:
@@ -75,7 +76,7 @@ def ascii_fold(c: Column | str) -> Column:
     return F.regexp_replace(out, r"[^\x00-\x7F]+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold_exact(s: pd.Series) -> pd.Series:
     return s.map(lambda v: "" if v is None else v if v.isascii() else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -117,10 +117,6 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
 # --- payloads of search interfaces
 
 
-def _blank(c: str) -> F.Column:
-    return F.nullif(F.col(c), F.lit(""))
-
-
 @query
 def works_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Candidates written as nested work payloads (JSON) and read back through the schema and the normaliser."""
@@ -205,19 +201,21 @@ def score_totals(spark: SparkSession, d: str) -> DataFrame:
 
 # --- places, ranks, numbers, names
 
-_BEST = [F.desc(F.coalesce("category_score", F.lit(0))), F.desc(T.present("pdf_url").cast("int")), F.desc(F.coalesce("year", F.lit(0))), F.asc("cand_no")]
+
+def _best() -> list[Column]:
+    return [F.desc(F.coalesce("category_score", F.lit(0))), F.desc(T.present("pdf_url").cast("int")), F.desc(F.coalesce("year", F.lit(0))), F.asc("cand_no")]
 
 
 @query
 def ranked_in_cell(spark: SparkSession, d: str) -> DataFrame:
-    return grid.ranked(read(spark, d, "candidates"), _BEST, top=2).select("country", "category", "rn", "cand_no")
+    return grid.ranked(read(spark, d, "candidates"), _best(), top=2).select("country", "category", "rn", "cand_no")
 
 
 @query
 def places_filled(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "candidates")
     places = grid.grid(spark, papers=9)
-    return grid.fill_places(c, places, _BEST, F.col("category_score") >= 1, papers=9).select("country", "category", "rn", "new_slot", "cand_no")
+    return grid.fill_places(c, places, _best(), F.col("category_score") >= 1, papers=9).select("country", "category", "rn", "new_slot", "cand_no")
 
 
 @query

@@ -21,8 +21,7 @@ def read_state(spark: SparkSession, path: str, schema: str = CANDIDATE) -> DataF
     """The saved candidates (Parquet folder, or a JSON array when the name ends so); an empty table if there is none or it is malformed."""
     try:
         if path.endswith(".json"):
-            df = spark.read.schema(schema + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-            return df.where("_bad is null").drop("_bad")
+            return spark.read.schema(schema).option("multiLine", True).json(path).na.drop("all")
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
@@ -45,7 +44,7 @@ def first_there(spark: SparkSession, *paths: str) -> str | None:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """``(path, folder, name)`` of the files below a folder, without reading them."""
+    """``(path, folder, name)`` of the files below a folder, without reading them; empty files are left out."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path")
     return f.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"))
 
