@@ -63,6 +63,12 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return report(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
 
 
+def p7_chosen(spark: SparkSession, d: str) -> DataFrame:
+    from paperloom.llm.mixing import mix
+
+    return mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[0]
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     from paperloom.llm.mixing import mix
 
@@ -87,4 +93,4 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(_read(spark, d, "documents"))[1]
 
 
-QUERIES |= {f.__name__: f for f in (p5_found, p6_found, p6_items, p7_mix, p8_found, p8_coverage, p8_spans)}
+QUERIES |= {f.__name__: f for f in (p5_found, p6_found, p6_items, p7_chosen, p7_mix, p8_found, p8_coverage, p8_spans)}
