@@ -24,15 +24,15 @@ from paperloom.session import materialise
 MOST_BROADCAST = 20_000
 #: Delimiters that decide a field on their own, strongest first: (name, sign in the skeleton, pieces).
 STRONG = [
-    ("line", "\n", r'(?:"[^"]*"|[^"\n]|")+?(?=\n|$)'),
-    ("tab", "\t", r'(?:"[^"]*"|[^"\t]|")+?(?=\t|$)'),
-    ("semicolon", ";", r'(?:"[^"]*"|[^";]|")+?(?=;|$)'),
-    ("dot", "·", r'(?:"[^"]*"|[^"·]|")+?(?=·|$)'),
-    ("bar", "|", r'(?:"[^"]*"|[^"|]|")+?(?=\||$)'),
-    ("slash", "\x02", r'(?:"[^"]*"|[^"\x02]|")+?(?=\x02|$)'),
+    ("line", "\n", r'(?:[^"\n]++|"[^"]*+"|")++'),
+    ("tab", "\t", r'(?:[^"\t]++|"[^"]*+"|")++'),
+    ("semicolon", ";", r'(?:[^";]++|"[^"]*+"|")++'),
+    ("dot", "·", r'(?:[^"·]++|"[^"]*+"|")++'),
+    ("bar", "|", r'(?:[^"|]++|"[^"]*+"|")++'),
+    ("slash", "\x02", r'(?:[^"\x02]++|"[^"]*+"|")++'),
 ]
-COMMA = r'(?:"[^"]*"|[^",]|")+?(?=,|$)'
-PAIRS = r'(?:"[^"]*"|[^",]|")+?,(?:"[^"]*"|[^",]|")+?(?=,|$)'
+COMMA = r'(?:[^",]++|"[^"]*+"|")++'
+PAIRS = rf"{COMMA},{COMMA}"
 _EDGE = r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$"
 _COUNT = r"^\s*\d+ match(?:es)?:\s*"
 
@@ -118,7 +118,7 @@ def split_values(records: DataFrame, no: str, fields: tuple[str, ...], name_fiel
     """
     items = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw"), F.lit(f in name_fields).alias("names")) for f in fields))
     f = records.select(F.col(no).alias("no"), F.explode(items).alias("x")).select("no", "x.*").where(F.col("raw").isNotNull() & F.col("raw").rlike(r"(?U)[^\s\p{Z}]"))
-    f = f.withColumn("skeleton", skeleton(F.col("raw"), F.col("names")))
+    f = materialise(f.withColumn("skeleton", skeleton(F.col("raw"), F.col("names"))), "skeletons")
     skeletons = f.select("skeleton").distinct()
     some = [r.skeleton for r in skeletons.limit(MOST_BROADCAST + 1).collect()]
     if len(some) <= MOST_BROADCAST:
