@@ -58,8 +58,8 @@ _spelled: dict[str, str] = {}
 
 
 def american(word: str) -> str:
-    """One spelling for British and American forms of a word of five letters or more."""
-    if len(word) < 5:
+    """One spelling for British and American forms of a word of five to forty letters."""
+    if not 5 <= len(word) <= 40:
         return word
     got = _spelled.get(word)
     if got is None:
