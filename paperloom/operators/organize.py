@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions.text import short_title, slugify, strip, text
+from paperloom.operators.ranks import group_rank
 from paperloom.rules import CATEGORIES, COLUMN_ALIASES
 
 
@@ -29,8 +29,9 @@ def category_number(c: Column, categories: list[str] = CATEGORIES) -> Column:
 
 def numbered(records: DataFrame, group: tuple[str, ...], by: list[Column], ok: Column) -> DataFrame:
     """``records`` with ``sequence``: the rank of the rows for which ``ok`` holds in their group; null for the others."""
-    w = Window.partitionBy(*group, F.coalesce(ok, F.lit(False))).orderBy(*by)
-    return records.withColumn("sequence", F.when(ok, F.row_number().over(w)))
+    r = records.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    ranked = group_rank(r.where("_ok"), list(group), by, "sequence")
+    return ranked.unionByName(r.where("not _ok").withColumn("sequence", F.lit(None).cast("int"))).drop("_ok")
 
 
 def file_name(country: Column, category_no: Column, sequence: Column, title: Column) -> Column:
@@ -47,11 +48,11 @@ def free_names(wanted: DataFrame, taken: DataFrame, name: str = "name", folder:
     n = F.regexp_extract(F.lower(name), r"_dup(\d+)(?:\.[^.]*)?$", 1)
     used = taken.select(F.col(folder).alias("_f"), stem.alias("_s"), F.when(n == "", 0).otherwise(F.try_to_number(n, F.lit("999999999")).cast("int")).alias("_n"))
     used = used.groupBy("_f", "_s").agg(F.array_sort(F.collect_set("_n")).alias("_used"))
-    w = wanted.withColumn("_s", F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))).withColumn("_k", F.row_number().over(Window.partitionBy(folder, "_s").orderBy(order)))
+    w = group_rank(wanted.withColumn("_s", F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))), [folder, "_s"], [F.asc(order)], "_rank")
     w = w.join(used.withColumnRenamed("_f", folder), [folder, "_s"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
-    open_ = F.element_at(F.filter(F.sequence(F.lit(0), F.size("_used") + F.col("_k")), lambda i: ~F.array_contains("_used", i)), F.col("_k"))
+    open_ = F.element_at(F.filter(F.sequence(F.lit(0), F.size("_used") + F.col("_rank")), lambda i: ~F.array_contains("_used", i)), F.col("_rank"))
     base, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return w.withColumn("free_name", F.when(open_ == 0, F.col(name)).otherwise(F.concat(base, F.lit("_dup"), open_.cast("string"), ext))).drop("_s", "_k", "_used")
+    return w.withColumn("free_name", F.when(open_ == 0, F.col(name)).otherwise(F.concat(base, F.lit("_dup"), open_.cast("string"), ext))).drop("_s", "_rank", "_used")
 
 
 def parsed_name(file: Column, parent: Column, countries: list[str], categories: list[str] = CATEGORIES) -> Column:

@@ -70,5 +70,7 @@ def enrich(records: DataFrame, lookup: DataFrame, key: str = "doi", fill: dict[s
     kinds = dict(records.dtypes)
     others = [c for c in lookup.columns if c != key]
     one = lookup.withColumn("_k", F.lower(F.trim(key))).where("_k <> ''").groupBy("_k").agg(F.min(F.struct(*others)).alias("_l")).select("_k", *(F.col(f"_l.{c}").alias(f"l_{c}") for c in others))
-    out = records.join(one, F.lower(F.trim(records[key])) == F.col("_k"), "left")
-    return out.select(*(F.when(~_there(c, kinds[c]) & fill[c].isNotNull(), fill[c]).otherwise(F.col(c)).alias(c) if c in fill else F.col(c) for c in records.columns))
+    filled = [F.when(~_there(c, kinds[c]) & fill[c].isNotNull(), fill[c]).otherwise(F.col(c)).alias(c) if c in fill else F.col(c) for c in records.columns]
+    own = F.lower(F.trim(records[key]))
+    out = records.where(own != "").join(one, own == F.col("_k"), "left").select(*filled)
+    return out.unionByName(records.where(own.isNull() | (own == "")))

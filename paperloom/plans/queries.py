@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom import schema
 from paperloom.functions import text as T
@@ -326,5 +325,5 @@ def document_notes(spark: SparkSession, d: str) -> DataFrame:
 def latest_runs(spark: SparkSession, d: str) -> DataFrame:
     """The newest log row of each document: late and repeated rows do not count twice."""
     p = read(spark, d, "preprocess_log")
-    w = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("processed_at"), F.desc("log_no"))
-    return p.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("doc_id", "log_no", "status", "word_count_raw", "word_count_cleaned")
+    newest = F.max_by(F.struct("log_no", "status", "word_count_raw", "word_count_cleaned"), F.struct("processed_at", "log_no"))
+    return p.groupBy("doc_id").agg(newest.alias("r")).select("doc_id", "r.*")

@@ -166,3 +166,16 @@ def test_numbering_and_tally(spark):
     got = {r.n: r.sequence for r in organize.numbered(df, ("g",), [F.asc("t")], F.col("t").isNotNull()).collect()}
     assert got == {1: 2, 2: None, 3: 1, 4: 1}
     assert organize.tally(df, "g").first().summary == "x=3, y=1" and organize.tally(df.where("n < 0"), "g").first().summary == "0"
+
+
+def test_group_rank(spark):
+    from paperloom.operators.ranks import group_rank
+
+    rnd = random.Random(1)
+    data = [(i, rnd.choice(["hot", "hot", "hot", "a", "b", None]), rnd.randrange(50)) for i in range(2000)]
+    got = {r.n: r.rank for r in group_rank(spark.createDataFrame(data, "n int, g string, v int").repartition(5), ["g"], [F.desc("v"), F.asc("n")]).collect()}
+    want = {}
+    for g in {d[1] for d in data}:
+        for k, d in enumerate(sorted((d for d in data if d[1] == g), key=lambda d: (-d[2], d[0])), 1):
+            want[d[0]] = k
+    assert got == want
