@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.session import drop_materialised, materialise
 
@@ -12,19 +11,19 @@ from paperloom.session import drop_materialised, materialise
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
     """``(node, root)`` for every node of a link between two different nodes; ``root`` is the smallest node of its component.
 
-    Alternating large-star and small-star steps (each one shuffle by node,
+    Alternating large-star and small-star steps (shuffles by node,
     written to the shared folder), ended when a round changes nothing.  Null
-    ends and loops are ignored; no links give an empty table.  A hub costs
-    one sorted, spillable window partition.
+    ends and loops are ignored; no links give an empty table.  A hub's least
+    neighbour is combined before the shuffle, and the join that hands it out
+    can be split.
     """
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     mark = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        large = both.where("v > u").join(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct()
         new = materialise(small, "star")
         old, e = e, new
