@@ -50,7 +50,7 @@ def free_names(wanted: DataFrame, taken: DataFrame, name: str = "name", folder:
     used = used.groupBy("_f", "_s").agg(F.array_sort(F.collect_set("_n")).alias("_used"))
     w = group_rank(wanted.withColumn("_s", F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))), [folder, "_s"], [F.asc(order)], "_rank")
     w = w.join(used.withColumnRenamed("_f", folder), [folder, "_s"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
-    open_ = F.element_at(F.filter(F.sequence(F.lit(0), F.size("_used") + F.col("_rank")), lambda i: ~F.array_contains("_used", i)), F.col("_rank"))
+    open_ = F.aggregate("_used", F.col("_rank") - 1, lambda n, u: F.when(u <= n, n + 1).otherwise(n))
     base, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
     return w.withColumn("free_name", F.when(open_ == 0, F.col(name)).otherwise(F.concat(base, F.lit("_dup"), open_.cast("string"), ext))).drop("_s", "_rank", "_used")
 
