@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.llm.components import components
+from paperloom.llm.history import hash_word
 from paperloom.llm.textforms import plain, within_one
 from paperloom.session import materialise
 
 Q = 4
 #: Set similarity that a pair has to reach to be found, and the soft similarity that verifies it.
 THRESHOLD, SOFT = 0.45, 0.8
+#: The set similarity for single family names: their sets are small, so one slip costs a larger share.
+FAMILY_THRESHOLD = 0.3
 #: Weight of a token that matches but for one slip.
 SLIP = 0.9
 #: Organisation words in this share of the organisations' spellings or more may write an abbreviation out.
@@ -162,35 +165,47 @@ def forms_of(names: DataFrame, name: str = "val") -> tuple[DataFrame, DataFrame]
     return keyed.select("val", "form_id"), keyed.select("form_id", "kind", "tokens", "initial").distinct()
 
 
-def _sets(views: DataFrame) -> DataFrame:
-    """``(form_id, tokens, side, gram, …)`` restricted to each set's prefix: its rarest grams in the order of a count over all sets."""
+def parity(grams_: list[str]) -> int:
+    """A signed 64-bit parity of a gram set: each gram that only one of two sets has flips one bit at most."""
+    out = 0
+    for g in grams_:
+        out ^= 1 << (hash_word(g) & 63)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _sets(views: DataFrame, threshold: float) -> DataFrame:
+    """``(view, side, n, bits, gram)`` restricted to each set's prefix: its rarest grams in the order of a count over all sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(grams=[grams(t.split(" ")) for t in b["tokens"]])
+            g = [grams(t.split(" ")) for t in b["tokens"]]
+            yield pd.DataFrame({"view": b["view"], "side": b["side"], "bits": [parity(x) for x in g], "grams": g})
 
-    g = views.mapInPandas(run, "view bigint, form_id bigint, side string, tokens string, grams array<string>")
-    g = materialise(g, "grams")
-    each = g.select("view", "form_id", "side", "tokens", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    g = materialise(views.select("view", "side", "tokens").mapInPandas(run, "view bigint, side string, bits bigint, grams array<string>"), "grams")
+    each = g.select("view", F.explode("grams").alias("gram"))
     count = each.groupBy("gram").agg(F.count("*").alias("k"))
-    ranked = each.join(count, "gram").withColumn("r", F.row_number().over(Window.partitionBy("view").orderBy("k", "gram")))
-    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(THRESHOLD) * F.col("n") - 1e-9) + 1).select("view", "form_id", "side", "tokens", "n", "gram")
+    known = g.select("view", "side", "bits", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(count, "gram")
+    ranked = known.groupBy("view", "side", "bits", "n").agg(F.array_sort(F.collect_list(F.struct("k", "gram"))).alias("by"))
+    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    return ranked.select("view", "side", "n", "bits", F.explode(F.transform(F.slice("by", F.lit(1), most.cast("int")), lambda e: e["gram"])).alias("gram"))
 
 
-def _similar(views: DataFrame, near) -> DataFrame:
-    """Distinct pairs of views of one side that share a prefix gram and are near enough for :func:`near` (a built-in condition on ``ta`` and ``tb``)."""
-    s = materialise(_sets(views), "prefix")
-    a = s.select("side", "gram", F.col("view").alias("va"), F.col("form_id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
-    b = s.select("side", "gram", F.col("view").alias("vb"), F.col("form_id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    met = a.join(b, ["side", "gram"]).where((F.col("va") < F.col("vb")) & (F.least("na", "nb") >= F.lit(THRESHOLD) * F.greatest("na", "nb")))
-    return met.where(near).select("a", "b", "ta", "tb").distinct()
+def _similar(views: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(a, b, ta, tb)``: distinct pairs of views of one side that share a prefix gram and may reach the threshold, by size and by parity of their sets."""
+    s = materialise(_sets(views, threshold), "prefix")
+    a = s.select("side", "gram", F.col("view").alias("va"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    b = s.select("side", "gram", F.col("view").alias("vb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    apart = F.floor((F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= apart)
+    met = a.join(b, ["side", "gram"]).where((F.col("va") < F.col("vb")) & near).select("va", "vb").distinct()
+    t = views.select("view", "form_id", "tokens")
+    return met.join(t.toDF("va", "a", "ta"), "va").join(t.toDF("vb", "b", "tb"), "vb").select("a", "b", "ta", "tb")
 
 
 def links_of(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(firm, open)`` links between forms: between full names or organisations, and from an initial's form to what it may stand for."""
     whole = forms.where("kind in ('full', 'org')").select(F.col("form_id").alias("view"), "form_id", F.col("kind").alias("side"), "tokens")
-    close = F.levenshtein("ta", "tb", 9) >= 0
-    pairs = _similar(whole, close)
+    pairs = _similar(whole)
     weight, heavy = _weights(forms)
     firm = _verified(pairs, weight, heavy)
     full = forms.where("kind = 'full'").select("form_id", F.split("tokens", " ").alias("t"))
@@ -199,7 +214,7 @@ def links_of(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     init = forms.where("kind = 'init'").select("form_id", F.col("tokens").alias("family"), "initial", F.lit("init").alias("what"))
     views = each.distinct().unionByName(init)
     families = materialise(views.groupBy("family", "initial").agg(F.max(F.col("what") == "init").alias("has"), F.xxhash64("family", "initial").alias("id")), "families")
-    near = _similar(families.select(F.col("id").alias("view"), F.col("id").alias("form_id"), F.col("initial").alias("side"), F.col("family").alias("tokens")), F.levenshtein("ta", "tb", 2) >= 0)
+    near = _similar(families.select(F.col("id").alias("view"), F.col("id").alias("form_id"), F.col("initial").alias("side"), F.col("family").alias("tokens")), FAMILY_THRESHOLD)
     near = _verified(near, weight, heavy).select("a", "b")
     same = families.where("has").select(F.col("id").alias("a"), F.col("id").alias("b"))
     has = families.where("has").select("id")
