@@ -110,8 +110,8 @@ def similarity(x: list[str], y: list[str], weight: dict[str, float], heavy: floa
                 best, how = u, 1.0
                 break
             slip = min(len(t), len(u)) >= 4 and within_one(t, u)
-            short = min(t, u, key=len)
-            cut = 3 <= len(short) <= 4 and max(t, u, key=len).startswith(short)
+            short, long = (t, u) if len(t) < len(u) else (u, t)
+            cut = 3 <= len(short) <= 4 and len(short) < len(long) and long.startswith(short)
             if (slip or cut) and how < SLIP:
                 best, how = u, SLIP
         if best is not None:
