@@ -42,16 +42,31 @@ def indel(a: str, b: str) -> int:
     return len(a) + len(b) - 2 * common
 
 
+def _pair_parities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds four 64-bit parities of each string's pairs of neighbouring characters."""
+    for b in batches:
+        words = ([], [], [], [])
+        for s in b["s"]:
+            bits = 0
+            for i in range(len(s) - 1):
+                bits ^= 1 << ((ord(s[i]) * 31 + ord(s[i + 1])) * 0x9E3779B1 >> 12 & 255)
+            for k, w in enumerate(words):
+                x = bits >> 64 * k & 0xFFFFFFFFFFFFFFFF
+                w.append(x - (1 << 64) if x >> 63 else x)
+        yield b.assign(p0=words[0], p1=words[1], p2=words[2], p3=words[3])
+
+
 def similar_pairs(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``(a, b)``, a < b, of distinct token-sorted titles ``(o, s)`` with ``100 * (1 - indel / (len a + len b)) >= threshold``; exact.
 
     An edit touches at most one of the non-overlapping chunks of ``GRAM``
     characters of a title, so of similar titles the shorter shows at least one
     of its ``budget + 1`` rarest chunks somewhere in the longer.  Those are
-    joined, within the length range; built-in bounds of the edit distance
-    decide most of what meets, the rest is computed exactly.
+    joined, within the length range and as far as the parities of their
+    character pairs allow (an edit flips three bits at most); a bounded edit
+    distance decides most of what meets, the rest is computed exactly.
     """
-    t = titles.where("s <> ''").withColumn("n", F.length("s"))
+    t = materialise(titles.where("s <> ''").select("o", "s").mapInPandas(_pair_parities, "o bigint, s string, p0 bigint, p1 bigint, p2 bigint, p3 bigint"), "titles").withColumn("n", F.length("s"))
     budget = (100 - threshold) / 100.0
     t = t.withColumn("most", F.floor(F.col("n") * 2 * budget / (1 - budget) + 1e-9).cast("int"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.col("n") / GRAM) - 1).cast("int"))
@@ -59,11 +74,15 @@ def similar_pairs(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     grams = t.select("o", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - GRAM + 1)), lambda i: F.substring("s", i, F.lit(GRAM))))).alias("g"))
     count = grams.groupBy("g").agg(F.count("*").alias("k"))
     rare = chunks.join(count, "g").groupBy("o", "most", "n").agg(F.array_sort(F.collect_list(F.struct("k", "g"))).alias("gs"))
-    rare = rare.select(F.col("o").alias("x"), F.col("n").alias("nx"), F.explode(F.transform(F.slice("gs", 1, F.col("most") + 1), lambda e: e["g"])).alias("g"))
-    met = rare.join(grams.select(F.col("o").alias("y"), F.col("n").alias("ny"), "g"), "g").where(f"x <> y and nx <= ny and (ny - nx) * 100 <= (nx + ny) * {100 - threshold} and (nx < ny or x < y)").select("x", "y").distinct()
+    bits = ["p0", "p1", "p2", "p3"]
+    rare = rare.select("o", "n", F.explode(F.transform(F.slice("gs", 1, F.col("most") + 1), lambda e: e["g"])).alias("g")).join(t.select("o", *bits), "o").toDF("x", "nx", "g", *(f"x{b}" for b in bits))
+    grams = grams.join(t.select("o", *bits), "o").toDF("y", "ny", "g", *(f"y{b}" for b in bits))
+    apart = " + ".join(f"bit_count(x{b} ^ y{b})" for b in bits)
+    close = f"(ny - nx) * 100 <= (nx + ny) * {100 - threshold} and ({apart}) * 100 <= 3 * (nx + ny) * {100 - threshold}"
+    met = rare.join(grams, "g").where(f"x <> y and nx <= ny and (nx < ny or x < y) and {close}").select("x", "y").distinct()
     both = met.join(t.select(F.col("o").alias("x"), F.col("s").alias("sx")), "x").join(t.select(F.col("o").alias("y"), F.col("s").alias("sy")), "y")
     room = F.floor((F.length("sx") + F.length("sy")) * budget + 1e-9).cast("int")
-    both = both.withColumn("room", room).withColumn("lev", F.levenshtein("sx", "sy")).where("lev <= room")
+    both = both.withColumn("room", room).withColumn("lev", F.expr("levenshtein(sx, sy, room)")).where("lev >= 0")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -291,6 +291,12 @@ def duplicates_exact(spark: SparkSession, d: str) -> DataFrame:
     return dedup.deduplicate(read(spark, d, "candidates"), "cand_no", fuzzy=False)
 
 
+@query
+def duplicates_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """The same with similar titles; tested against the sequential rule."""
+    return dedup.deduplicate(read(spark, d, "candidates"), "cand_no")
+
+
 # --- document text
 
 
