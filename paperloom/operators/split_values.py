@@ -85,12 +85,18 @@ def _pieces(value: Column, rule: Column) -> Column:
     return out.otherwise(F.array(F.regexp_replace(value, _COUNT, "")))
 
 
-def _values(pieces: Column, rule: Column) -> Column:
-    bare = F.transform(pieces, lambda p: _strip(p))
-    n = F.size(bare)
-    bare = F.transform(bare, lambda p, i: F.when((i == n - 1) & (rule != "one"), F.regexp_replace(p, r"(?iU)^(?:and|&)[ \p{Zs}]+", "")).otherwise(p))
-    bare = F.transform(bare, lambda p: _strip(F.regexp_replace(F.regexp_replace(p, r'^"(.*)"$', "$1"), r'\\(["\\])', "$1")))
-    return F.filter(bare, lambda p: p != "")
+def _with_values(df: DataFrame, raw: Column) -> DataFrame:
+    """``df`` with ``values``; the pieces are a column of their own so that each field is cut once."""
+    df = df.withColumn("pieces", _pieces(raw, F.col("rule")))
+
+    def clean(p: Column, i: Column) -> Column:
+        p = _strip(p)
+        p = F.when((i == F.size("pieces") - 1) & (F.col("rule") != "one"), F.regexp_replace(p, r"(?iU)^(?:and|&)[ \p{Zs}]+", "")).otherwise(p)
+        p = F.when(F.contains(p, F.lit('"')) | F.contains(p, F.lit("\\")), F.regexp_replace(F.regexp_replace(p, r'^"(.*)"$', "$1"), r'\\(["\\])', "$1")).otherwise(p)
+        return _strip(p)
+
+    df = df.withColumn("values", F.transform("pieces", clean)).drop("pieces")
+    return df.withColumn("values", F.filter("values", lambda p: p != ""))
 
 
 _PROTECT = {",": "\x0e", "&": "\x0f", " and ": "\x10", " And ": "\x11", " AND ": "\x12"}
@@ -128,7 +134,8 @@ def split_values(records: DataFrame, no: str, fields: tuple[str, ...], name_fiel
         rules = skeletons.mapInPandas(lambda bs: (b.assign(rule=[resolve(s) for s in b["skeleton"]]) for b in bs), "skeleton string, rule string")
     f = f.join(rules, "skeleton", "left").drop("skeleton")
     sure = ~F.col("rule").isin("comma", "and", "pairs", "one")
-    known = f.where(sure & F.col("raw").rlike(r"(?i) and |&|,")).select("field_name", "names", F.explode(_values(_pieces(F.col("raw"), F.col("rule")), F.col("rule"))).alias("val"))
+    known = f.where(sure & F.col("raw").rlike(r"(?i) and |&") | sure & ~F.col("names") & F.contains("raw", F.lit(",")))
+    known = _with_values(known, F.col("raw")).select("field_name", "names", F.explode("values").alias("val"))
     known = known.where(F.col("val").rlike("(?i) and |&") | (F.col("val").contains(",") & ~F.col("names"))).select("field_name", "val").distinct()
     doubtful = f.where(F.col("rule").isin("comma", "and")).withColumn("bits", F.split(F.regexp_replace("raw", _COUNT, ""), r",\s*"))
     phrases = F.flatten(F.transform(F.sequence(F.lit(0), F.size("bits") - 1), lambda i: F.array(*(F.array_join(F.slice(F.col("bits"), i + 1, k), ", ") for k in (1, 2, 3)))))
@@ -139,7 +146,8 @@ def split_values(records: DataFrame, no: str, fields: tuple[str, ...], name_fiel
     f = f.join(found, ["no", "field_name"], "left")
     raw = F.when(F.col("kept").isNull(), F.col("raw")).otherwise(F.aggregate("kept", F.col("raw"), lambda acc, a: F.replace(acc, a, _protect(a))))
     raw = F.when(F.col("names"), F.regexp_replace(raw, r"((?<!\p{L})(?:for|of) [^,;|\x10]*?) and (?=\p{L})", "$1\x10")).otherwise(raw)
-    values = F.transform(_values(_pieces(raw, F.col("rule")), F.col("rule")), _unprotect)
+    f = _with_values(f.withColumn("raw", raw), F.col("raw"))
+    values = F.when(F.col("raw").rlike("[\x0e-\x12]"), F.transform("values", _unprotect)).otherwise(F.col("values"))
     out = f.select("no", "field_name", values.alias("values"))
     if not single:
         out = out.where(F.size("values") >= 2)
