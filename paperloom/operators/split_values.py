@@ -33,12 +33,13 @@ STRONG = [
 ]
 COMMA = r'(?:[^",]++|"[^"]*+"|")++'
 PAIRS = rf"{COMMA},{COMMA}"
-_EDGE = r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: White space, Unicode's separators included.
+_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _COUNT = r"^\s*\d+ match(?:es)?:\s*"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE, "")
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def skeleton(value: Column, names: Column) -> Column:
@@ -145,7 +146,7 @@ def split_values(records: DataFrame, no: str, fields: tuple[str, ...], name_fiel
     found = found.groupBy("no", "field_name").agg(F.array_sort(F.collect_set("val")).alias("kept"))
     f = f.join(found, ["no", "field_name"], "left")
     raw = F.when(F.col("kept").isNull(), F.col("raw")).otherwise(F.aggregate("kept", F.col("raw"), lambda acc, a: F.replace(acc, a, _protect(a))))
-    raw = F.when(F.col("names"), F.regexp_replace(raw, r"((?<!\p{L})(?:for|of) [^,;|\x10]*?) and (?=\p{L})", "$1\x10")).otherwise(raw)
+    raw = F.when(F.col("names") & F.contains(raw, F.lit(" and ")), F.regexp_replace(raw, r"((?<!\p{L})(?:for|of) [^,;|\x10]*?) and (?=\p{L})", "$1\x10")).otherwise(raw)
     f = _with_values(f.withColumn("raw", raw), F.col("raw"))
     values = F.when(F.col("raw").rlike("[\x0e-\x12]"), F.transform("values", _unprotect)).otherwise(F.col("values"))
     out = f.select("no", "field_name", values.alias("values"))
