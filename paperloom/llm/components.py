@@ -15,15 +15,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     written to the shared folder), ended when a round changes nothing.  Null
     ends and loops are ignored; no links give an empty table.  A hub's least
     neighbour is combined before the shuffle, and the join that hands it out
-    can be split.
+    can be split; it is a merge join, so no round sends a table to the driver.
     """
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     mark = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        large = both.where("v > u").join(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct()
         new = materialise(small, "star")
         old, e = e, new
