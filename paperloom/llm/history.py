@@ -1,12 +1,17 @@
 """Problem 1: new batches against all accepted history, with a forest of sorted signature permutations.
 
-A title's canonical word list is cut into letter trigrams inside its words, so
-neither order nor a slip of the keyboard changes much.  Each tree of the forest
-holds, for every distinct canonical title, a key of ``DEPTH`` one-byte min-hash
-values; a run of the forest is the table of keys sorted by tree and key.  A
-batch locates its entries by the range of keys that share a prefix, starting
-with the longest prefix that still reaches the recall target at the wanted
-similarity, and the pairs found are verified word by word.
+What the verifier accepts may share few letters (one slip in a short title
+changes most of its trigrams), so titles are compared by the classes of their
+words: two words of which one may be a slip of the other are of one class, and
+so is what further slips join.  Titles that the verifier accepts have the same
+classes, that is similarity 1, and meet in every tree under the whole key;
+one tree of ``DEPTH`` one-byte min-hash values reaches any recall target then.
+Without classes a key is made of the letter trigrams of the words, and ``TREES``
+trees and a prefix as short as the target demands are needed.
+
+A run of the forest is the table of keys sorted by tree and key.  A batch
+locates its entries by the keys that share a prefix, and the pairs found are
+verified word by word.
 
 Equal canonical titles never meet in the forest: they are one class with one
 entry, so a title that fills a third of the rows costs one entry.
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
-from paperloom.llm.textforms import doi_key, same_title, title_tokens
+from paperloom.llm.textforms import doi_key, mistyped, same_title, title_tokens
 from paperloom.session import materialise
 
 TREES = 24
@@ -32,6 +37,8 @@ RECALL = 0.97
 #: A word in this share of the distinct titles or more is in wide use; at most ``words per title / share`` words can be.
 COMMON_SHARE = 0.0005
 COMMON_LEAST = 20
+#: Words up to this length show all their deletions; longer ones three pieces of ``PIECE`` letters, of which two edits leave one whole.
+LONG, PIECE = 42, 8
 #: Titles whose 64-bit word parities differ in more bits have more differing words than a verified pair may have.
 PARITY_BITS = 8
 
@@ -90,10 +97,14 @@ def hash_word(w: str) -> int:
 
 def tree_keys(tokens: list[str]) -> np.ndarray:
     """One signed 64-bit key for each tree: ``DEPTH`` min-hash bytes, the first the most significant."""
-    g = _grams(tokens)
-    low = _mix(g[:, None] * _SEED[0] + _SEED[1]).min(axis=0)
-    bytes_ = (_mix(low) & np.uint64(0xFF)).astype(np.uint8).reshape(TREES, DEPTH)
-    return np.ascontiguousarray(bytes_).view(">i8").reshape(TREES).astype(np.int64)
+    return _keys(_grams(tokens), TREES)
+
+
+def _keys(hashes: np.ndarray, trees: int) -> np.ndarray:
+    n = trees * DEPTH
+    low = _mix(hashes[:, None] * _SEED[0, :n] + _SEED[1, :n]).min(axis=0)
+    bytes_ = (_mix(low) & np.uint64(0xFF)).astype(np.uint8).reshape(trees, DEPTH)
+    return np.ascontiguousarray(bytes_).view(">i8").reshape(trees).astype(np.int64)
 
 
 def canonical(records: DataFrame, no: str = "cand_no", title: str = "title", doi: str = "doi", id: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -129,29 +140,105 @@ def common_words(titles: DataFrame, canon: str = "canon") -> set[str]:
 
 
 def forest_run(titles: DataFrame, cid: str = "cid", canon: str = "canon") -> DataFrame:
-    """A run of the forest, unsorted: ``(tree, key, cid, parity)``, one row for each tree and distinct title."""
+    """A run of the forest, unsorted: ``(tree, key, cid, parity)``, one row for each tree and distinct title.
+
+    Titles that bear ``classes`` (see :func:`with_classes`) have one tree over
+    those, others ``TREES`` trees over letter trigrams.
+    """
+    classed = "classes" in titles.columns
+    n = 1 if classed else TREES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = np.arange(TREES, dtype=np.int8)
+        trees = np.arange(n, dtype=np.int8)
         for b in batches:
             tokens = [c.split(" ") for c in b[canon]]
             if not tokens:
                 continue
-            keys = np.concatenate([tree_keys(t) for t in tokens])
+            keys = np.concatenate([_keys(_mix(np.unique(c).astype(np.int64).view(np.uint64)), n) for c in b["classes"]] if classed else [tree_keys(t) for t in tokens])
             yield pd.DataFrame(
-                {"tree": np.tile(trees, len(tokens)), "key": keys, "cid": np.repeat(b[cid].to_numpy(), TREES), "parity": np.repeat(np.array([parity(t) for t in tokens], dtype=np.int64), TREES)}
+                {"tree": np.tile(trees, len(tokens)), "key": keys, "cid": np.repeat(b[cid].to_numpy(), n), "parity": np.repeat(np.array([parity(t) for t in tokens], dtype=np.int64), n)}
             )
 
-    return titles.select(cid, canon).mapInPandas(run, "tree tinyint, key bigint, cid bigint, parity bigint")
+    return titles.select(cid, canon, *["classes"] * classed).mapInPandas(run, "tree tinyint, key bigint, cid bigint, parity bigint")
+
+
+def _shown(word: str, far: bool) -> set[str]:
+    """What a word shows of itself: of two words within one edit (two if ``far``) each shows something that the other shows too."""
+    out = set()
+    if len(word) <= LONG:
+        new = {word}
+        for _ in range(1 + far):
+            out |= new
+            new = {w[:i] + w[i + 1 :] for w in new for i in range(len(w))}
+        out |= new
+    if len(word) >= LONG - 2:  # an edit moves what follows it by one
+        out |= {"<" + word[:PIECE], ">" + word[-PIECE:], *("=" + word[k : k + PIECE] for k in (PIECE + 2, PIECE + 3, PIECE + 1))}
+    return out
+
+
+def slip_classes(words: DataFrame, common: set[str]) -> DataFrame:
+    """``(w, class)`` of the distinct words ``(w)`` that are of one class with another; every other word is a class alone, ``xxhash64(w)``.
+
+    Exact: all pairs of words that ``mistyped`` accepts are joined, however
+    long the words.  Two words in wide use are no pair, and two edits need one
+    that is, so only words in wide use meet others by two deletions.
+    """
+    widely = words.sparkSession.sparkContext.broadcast(frozenset(common))
+
+    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for w in b["w"]:
+                if len(w) >= 3 and not w.isdigit():
+                    c, near = w in widely.value, _shown(w, False)
+                    out += [(x, w, c, True) for x in near]
+                    if len(w) >= 5:
+                        out += [(x, w, c, False) for x in _shown(w, True) - near]
+            yield pd.DataFrame(out, columns=["x", "w", "c", "near"])
+
+    def slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[mistyped(v, w, widely.value) for v, w in zip(b["v"], b["w"], strict=True)], ["a", "b"]]
+
+    shown = materialise(words.select("w").mapInPandas(show, "x string, w string, c boolean, near boolean"), "shown")
+    wide, rare = shown.where("c").select("x", F.col("w").alias("v")), shown.where("not c").select("x", "w")
+    near = shown.where("not c and near")
+    met = wide.join(rare, "x").select("v", "w").unionByName(near.select("x", F.col("w").alias("v")).join(near.select("x", "w"), "x").where("v < w").select("v", "w"))
+    links = met.distinct().select("v", "w", F.xxhash64("v").alias("a"), F.xxhash64("w").alias("b")).mapInPandas(slips, "a bigint, b bigint")
+    return words.select("w", F.xxhash64("w").alias("node")).join(components(links), "node").select("w", F.col("root").alias("class"))
+
+
+def with_classes(titles: DataFrame, common: set[str], canon: str = "canon") -> DataFrame:
+    """``titles`` with ``classes``, the classes of each title's words: two titles of :func:`same_title` have the same set.
+
+    The words in wide use are sent to every task with their classes; the
+    others are few in a title and joined.
+    """
+    spark = titles.sparkSession
+    used = spark.createDataFrame([(w,) for w in sorted(common)], "w string")
+    each = titles.select("cid", F.explode(F.array_distinct(F.split(canon, " "))).alias("w")).join(F.broadcast(used), "w", "left_anti")
+    each = materialise(each, "words")
+    classes = materialise(slip_classes(each.select("w").distinct().unionByName(used), common), "classes")
+    of_used = {r.w: r["class"] for r in used.select("w", F.xxhash64("w").alias("own")).join(classes, "w", "left").select("w", F.coalesce("class", "own").alias("class")).collect()}
+    widely = spark.sparkContext.broadcast(of_used)
+    rare = each.join(classes, "w", "left").groupBy("cid").agg(F.collect_list(F.coalesce("class", F.xxhash64("w"))).alias("rare"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = widely.value
+        for b in batches:
+            yield b.drop(columns="rare").assign(classes=[[*({of[w] for w in c.split(" ") if w in of} | set([] if r is None else r))] for c, r in zip(b[canon], b["rare"], strict=True)])
+
+    kinds = ", ".join(f"{c} {k}" for c, k in titles.dtypes)
+    return titles.join(rare, "cid", "left").mapInPandas(run, f"{kinds}, classes array<bigint>")
 
 
 def range_search(probes: DataFrame, run: DataFrame, depth: int) -> DataFrame:
-    """Distinct ``(a, b)`` of a run's entry and a later probe that share a key prefix of ``depth`` bytes in some tree and may differ in few words only."""
+    """Distinct ``(a, b)``, a < b, of a run's entry and a probe that share a key prefix of ``depth`` bytes in some tree and may differ in few words only."""
     shift = 8 * (DEPTH - depth)
     left = run.select("tree", F.shiftright("key", shift).alias("p"), F.col("cid").alias("a"), F.col("parity").alias("pa"))
     right = probes.select("tree", F.shiftright("key", shift).alias("p"), F.col("cid").alias("b"), F.col("parity").alias("pb"))
     near = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= PARITY_BITS
-    return left.join(right, ["tree", "p"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return left.join(right, ["tree", "p"]).where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, titles: DataFrame, common: set[str]) -> DataFrame:
@@ -169,39 +256,54 @@ def verified(pairs: DataFrame, titles: DataFrame, common: set[str]) -> DataFrame
 
 
 class HistoryForest:
-    """The persistent index of accepted titles: sorted runs in the shared folder, one for each accepted batch until they are merged."""
+    """The persistent index of accepted works: sorted runs of title keys and tables of DOIs in the shared folder, one for each accepted batch until they are merged.
+
+    Titles with ``classes`` have to bear them in every batch, from one set of
+    words that holds those of all batches.
+    """
 
     def __init__(self, spark: SparkSession, merge_at: int = 8):
         self.spark, self.merge_at = spark, merge_at
         self.runs: list[DataFrame] = []
         self.titles: list[DataFrame] = []
+        self.dois: list[DataFrame] = []
 
-    def probe(self, titles: DataFrame, common: set[str], recall: float = RECALL) -> DataFrame:
-        """Verified ``(a, b)`` links of a batch's titles ``(cid, canon)`` to accepted ones; only the batch is hashed.
+    def met(self, keys: DataFrame, depth: int = DEPTH) -> DataFrame:
+        """Pairs ``(a, b)``, not yet verified, of a batch's keys and those of other accepted titles."""
+        return materialise(range_search(keys, _union(self.runs), depth), "met")
 
-        The prefix is widened step by step; titles that were linked under a
-        longer prefix do not take part in the wider search.
-        """
-        found = None
+    def probe(self, titles: DataFrame, common: set[str], recall: float = RECALL) -> DataFrame:
+        """Verified ``(a, b)`` links of a batch's titles ``(cid, canon)`` to accepted ones."""
         if not self.runs:
             return self.spark.createDataFrame([], "a bigint, b bigint")
-        run, known = _union(self.runs), _union(self.titles)
-        open_, keys = titles, materialise(forest_run(titles), "probe")
-        least = prefix_depth(recall=recall)
-        for depth in sorted({DEPTH, least}, reverse=True):
-            pairs = range_search(keys.join(open_.select("cid"), "cid", "left_semi"), run, depth)
-            links = materialise(verified(pairs, known.select("cid", "canon").unionByName(titles.select("cid", "canon")), common), "links")
-            found = links if found is None else found.unionByName(links)
-            open_ = open_.join(links, open_.cid == links.b, "left_anti")
-        return found
-
-    def accept(self, titles: DataFrame) -> None:
-        """Append a batch's titles as one more run, sorted by tree and key; merge the runs when there are many."""
-        self.runs.append(materialise(forest_run(titles).repartition("tree").sortWithinPartitions("tree", "key"), "run"))
+        known = _union(self.titles).unionByName(titles.select("cid", "canon")).distinct()
+        depth = DEPTH if "classes" in titles.columns else prefix_depth(recall=recall)
+        return materialise(verified(self.met(forest_run(titles), depth), known, common), "links")
+
+    def same_doi(self, dois: DataFrame) -> DataFrame:
+        """``(a, b)`` links of a batch's ``(cid, doi_key)`` to the accepted ones of the same DOI."""
+        if not self.dois:
+            return self.spark.createDataFrame([], "a bigint, b bigint")
+        both = _union(self.dois).withColumnRenamed("cid", "a").join(dois.select(F.col("cid").alias("b"), "doi_key"), "doi_key").where("a <> b")
+        return materialise(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "dois")
+
+    def accept(self, titles: DataFrame, dois: DataFrame | None = None) -> DataFrame:
+        """Append a batch's titles as one more run, sorted by tree and key, and its DOIs; merge the runs when there are many. The batch's run."""
+        own = materialise(_sorted(forest_run(titles)), "run")
+        self.runs.append(own)
         self.titles.append(materialise(titles.select("cid", "canon"), "titles"))
+        if dois is not None:
+            self.dois.append(materialise(dois.select("cid", "doi_key"), "dois"))
         if len(self.runs) > self.merge_at:
-            self.runs = [materialise(_union(self.runs).repartition("tree").sortWithinPartitions("tree", "key"), "run")]
+            self.runs = [materialise(_sorted(_union(self.runs)), "run")]
             self.titles = [materialise(_union(self.titles), "titles")]
+        if len(self.dois) > self.merge_at:
+            self.dois = [materialise(_union(self.dois), "dois")]
+        return own
+
+
+def _sorted(run: DataFrame) -> DataFrame:
+    return run.repartition("tree", "key").sortWithinPartitions("tree", "key")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -211,25 +313,43 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def works(records: DataFrame, no: str = "cand_no", title: str = "title", doi: str = "doi", id: str = "id", keep: tuple[str, ...] = (), depth: int | None = None) -> DataFrame:
+def replay(titles: DataFrame, dois: DataFrame, common: set[str]) -> DataFrame:
+    """Links ``(a, b)`` of works: the batches of ``titles (cid, canon, batch)`` and ``dois (cid, doi_key, batch)`` go through a forest one after the other.
+
+    A batch is accepted and then probes all that is accepted, itself included;
+    what meets in all batches is verified at once.
+    """
+    forest = HistoryForest(titles.sparkSession)
+    titles = materialise(with_classes(titles, common), "classed")
+    batches = sorted({r.batch for t in (titles, dois) for r in t.select("batch").distinct().collect()})
+    met, links = [], []
+    for n in batches:
+        t, d = titles.where(F.col("batch") == n), dois.where(F.col("batch") == n)
+        links.append(forest.same_doi(d))
+        met.append(forest.met(forest.accept(t, d)))
+    if not batches:
+        return titles.sparkSession.createDataFrame([], "a bigint, b bigint")
+    return verified(_union(met).distinct(), titles, common).unionByName(_union(links))
+
+
+def works(records: DataFrame, no: str = "cand_no", title: str = "title", doi: str = "doi", id: str = "id", keep: tuple[str, ...] = (), batch: str | None = None) -> DataFrame:
     """``(no, *keep, work)`` for every row; ``work`` is the smallest ``no`` of the rows of its work.
 
     Rows are of one work if they bear one DOI or one title (up to typing,
-    markup, spelling, order), directly or through other rows.  All batches
-    are replayed in one pass: arrival order is the order of ``no``, and each
-    title probes those that arrived before it.  A row without DOI and title is
-    its own work.  Repeated rows are the same work; an empty table gives none.
+    markup, spelling, order), directly or through other rows.  The batches
+    (numbers in ``batch``, which is one of ``keep``; a missing number is 0) are
+    replayed in order; without ``batch`` all rows are one.  A row without DOI
+    and title is its own work.  Repeated rows are the same work; an empty table
+    gives none.
     """
     rows = materialise(canonical(records, no, title, doi, id, keep), "rows")
-    titles = materialise(rows.where("canon is not null").groupBy("canon").agg(F.min(no).cast("bigint").alias("cid")), "titles")
-    common = common_words(titles)
-    run = materialise(forest_run(titles), "run")
-    pairs = range_search(run, run, depth or prefix_depth())
-    links = verified(pairs, titles, common)
-    row = rows.select(F.col(no).cast("bigint").alias("n"), "doi_key", "canon")
-    by_title = row.where("canon is not null").join(titles, "canon").select(F.col("n").alias("a"), F.col("cid").alias("b"))
-    of_doi = row.where("doi_key is not null").groupBy("doi_key").agg(F.min("n").alias("b"), F.count("*").alias("k")).where("k > 1")
-    by_doi = row.where("doi_key is not null").select("n", "doi_key").join(of_doi, "doi_key").select(F.col("n").alias("a"), "b")
+    at = F.coalesce(F.col(batch).cast("bigint"), F.lit(0)) if batch else F.lit(0).cast("bigint")
+    row = rows.select(F.col(no).cast("bigint").alias("n"), "doi_key", "canon", at.alias("batch"))
+    titles = materialise(row.where("canon is not null").groupBy("canon").agg(F.min("n").alias("cid"), F.min_by("batch", "n").alias("batch")), "titles")
+    of_doi = materialise(row.where("doi_key is not null").groupBy("doi_key", "batch").agg(F.min("n").alias("cid")), "of_doi")
+    links = replay(titles, of_doi, common_words(titles))
+    by_title = row.where("canon is not null").join(titles.select("canon", "cid"), "canon").select(F.col("n").alias("a"), F.col("cid").alias("b"))
+    by_doi = row.where("doi_key is not null").select("n", "doi_key", "batch").join(of_doi, ["doi_key", "batch"]).select(F.col("n").alias("a"), F.col("cid").alias("b"))
     of = components(by_title.where("a <> b").unionByName(by_doi.where("a <> b")).unionByName(links))
     out = rows.select(no, *keep).join(of.withColumnRenamed("node", "_node"), F.col(no) == F.col("_node"), "left")
     return out.select(no, *keep, F.coalesce("root", F.col(no).cast("bigint")).alias("work"))
@@ -237,5 +357,5 @@ def works(records: DataFrame, no: str = "cand_no", title: str = "title", doi: st
 
 def repeats(records: DataFrame, no: str = "cand_no", batch: str = "batch_no", title: str = "title", doi: str = "doi", id: str = "id") -> DataFrame:
     """``(accepted_no, <no>)``: each row of a later batch (``batch`` >= 1) whose work occurs in an earlier row, with the first row of that work."""
-    w = works(records, no, title, doi, id, keep=(batch,))
+    w = works(records, no, title, doi, id, keep=(batch,), batch=batch)
     return w.where((F.col(batch) >= 1) & (F.col("work") < F.col(no))).select(F.col("work").alias("accepted_no"), F.col(no).cast("bigint").alias(no))

@@ -99,6 +99,37 @@ def test_incremental_equals_bulk(spark):
     assert len(forest.runs) <= 3
 
 
+def test_pairs_of_little_similarity(spark, monkeypatch):
+    """What the verifier accepts is found however few trigrams are left; the DOI of another batch links too."""
+    long = "pneumono" * 6
+    titles = ["minh", "mihn", "abcd efgh ijkl mnop", "abdc efhg ijlk mnpo", "rxzvq", "rxvzq", "Some first name", "Other second thing", f"{long}tic", f"{long[1:]}tic"]
+    data = [(i + 1, i % 3, None, "10.90/s.1" if "name" in t or "thing" in t else None, t, 1) for i, t in enumerate(titles)]
+    # two edits of a word in wide use
+    data += [(100 + i, 0, None, None, f"market {chr(97 + i) * 6}", 1) for i in range(25)] + [(200, 1, None, None, "mzrkzt cccccc", 1)]
+    data += [(300, None, None, None, "minh", 1)]
+    seen = []
+    accept = H.HistoryForest.accept
+    monkeypatch.setattr(H.HistoryForest, "accept", lambda self, *a: (seen.append(1), accept(self, *a))[1])
+    found = {(r.work, r.cand_no) for r in H.works(spark.createDataFrame(data, SCHEMA), keep=("batch_no",), batch="batch_no").where("work < cand_no").collect()}
+    assert found == {(1, 2), (3, 4), (5, 6), (7, 8), (9, 10), (102, 200), (1, 300)}
+    assert len(seen) == 3  # one run for each batch
+
+
+def test_slip_classes_hold_every_pair(spark):
+    rnd = random.Random(4)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.choice([2, 3, 4, 5, 6, 38, 40, 42, 43, 60]))) for _ in range(150)}
+    for w in sorted(words):
+        for _ in range(2):
+            k = rnd.randrange(len(w))
+            w = rnd.choice([w[:k] + w[k + 1 :], w[:k] + "z" + w[k:], w[:k] + "y" + w[k + 1 :], w[:k] + w[k : k + 2][::-1] + w[k + 2 :]])
+        words.add(w)
+    words = sorted(words - {""})
+    common = set(rnd.sample(words, 60))
+    of = {r.w: r["class"] for r in H.slip_classes(spark.createDataFrame([(w,) for w in words], "w string"), common).collect()}
+    pairs = [(a, b) for a in words for b in words if a < b and mistyped(a, b, common)]
+    assert any(len(a) > H.LONG for a, _ in pairs) and all(a in of and of[a] == of.get(b) for a, b in pairs)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(60)] + [(None, 3)]
