@@ -13,6 +13,7 @@ more items mean more passes over the documents, never a larger broadcast.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -22,14 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import materialise
+
 SHINGLE = 3
 CONTAINMENT = 0.5
 REPLACED = 2
 RECALL = 0.999
 CHUNK_TRIPLES = 4_000_000
-#: A triple that this many items share belongs to their wording, not to one item.
+#: First words that this many different texts share are an opening; three words that stand between as many different neighbours are a turn of speech (see :func:`marked`).
 SHARED_BY = 3
-#: Matched words outside the shared wording that a passage needs.
+#: Matched words outside the opening and turns of speech that a passage with opening words needs.
 OWN_WORDS = 3
 #: Stray words (a page number, a running line) that may stand once inside a passage.
 STRAY = 12
@@ -64,32 +67,35 @@ def _hash(keys: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
-    """The sketches of one chunk of items."""
+    """The sketches of one chunk of items; ``marks`` has the number of opening words of each and where its turns of speech begin."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    def __init__(self, items: list[tuple[int, list[str]]], marks: list[tuple[int, list[int]]] | None = None):
         self.vocabulary: dict[str, int] = {}
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], dtype=np.int64) for _, ws in items]
         self.base = len(self.vocabulary) + 1
         triples = [self.triples(w) for w in self.words]
-        everywhere, count = np.unique(np.concatenate([np.unique(t) for t in triples] or [np.zeros(0, np.int64)]), return_counts=True)
-        shared = everywhere[count >= SHARED_BY]
-        self.own = []
+        marks = marks or [(0, [])] * len(items)
+        self.opening, self.own, self.fresh = [n for n, _ in marks], [], []
+        for w, (n, turns) in zip(self.words, marks, strict=True):
+            outside = np.arange(len(w)) >= n
+            own = outside.copy()
+            for p in turns:
+                own[p : p + SHINGLE] = False
+            self.own.append(own if own.any() else outside)
+            fresh = outside[SHINGLE - 1 :].copy()  # triples that are neither opening nor turn of speech
+            fresh[turns if own.any() else []] = False
+            self.fresh.append(fresh)
         keys, item, at = [], [], []
         largest: dict[int, int] = {}
         for t in triples:  # partitions: sizes up to 2, 4, 8, ...
             part = max(1, len(t)).bit_length()
             largest[part] = max(largest.get(part, 0), len(t))
         for k, t in enumerate(triples):
-            own = np.ones(len(self.words[k]), dtype=bool)
-            for p in np.flatnonzero(np.isin(t, shared)):
-                own[p : p + SHINGLE] = False
-            self.own.append(own)
             if not len(t):
                 continue
             size = sketch_size(largest[max(1, len(t)).bit_length()])
             kept = np.argsort(_hash(t), kind="stable")[:size]
-            kept = kept[~np.isin(t[kept], shared)] if own.any() else kept
             keys.append(t[kept])
             item.append(np.full(len(kept), k))
             at.append(kept)
@@ -133,7 +139,7 @@ class ItemIndex:
         return out
 
     def _passage(self, k: int, starts: dict[int, int], ids: np.ndarray) -> bool:
-        n, own = len(self.words[k]), self.own[k]
+        n, own = len(self.words[k]), (self.own[k], self.fresh[k], self.opening[k])
         need = math.ceil(n * CONTAINMENT)
         rows = {s: self._equal(k, s, ids) for s in starts}
         if any(_holds(e, own, need) for e in rows.values()):
@@ -150,22 +156,81 @@ class ItemIndex:
         return False
 
 
-def _holds(equal: np.ndarray, own: np.ndarray, need: int) -> bool:
-    """Whether some stretch of ``need`` words or more, ends matched, has at most ``REPLACED`` misses and enough words of the item's own."""
+def _holds(equal: np.ndarray, marks: tuple[np.ndarray, np.ndarray, int], need: int) -> bool:
+    """Whether some stretch of ``need`` words or more, ends matched, has at most ``REPLACED`` misses and, if it begins in the opening, enough words of the item's own and an unbroken triple of words not wholly of the opening or a turn of speech."""
     hit = np.flatnonzero(equal)
     if len(hit) < max(1, need - REPLACED):
         return False
+    own, fresh, opening = marks
     sums = np.concatenate([[0], np.cumsum(equal & own)])
+    whole = np.concatenate([[0], np.cumsum(equal[:-2] & equal[1:-1] & equal[2:] & fresh)])
     least = min(OWN_WORDS, max(1, int(own.sum())))
     for i in range(len(hit)):
         j = i
         while j + 1 < len(hit) and (hit[j + 1] - hit[i]) - (j + 1 - i) <= REPLACED:
             j += 1
-        if hit[j] - hit[i] + 1 >= need and sums[hit[j] + 1] - sums[hit[i]] >= least:
+        if hit[j] - hit[i] + 1 >= need and (hit[i] >= opening or (sums[hit[j] + 1] - sums[hit[i]] >= least and whole[max(hit[i], hit[j] - 1)] > whole[hit[i]])):
             return True
     return False
 
 
+def _hashes(words: list[str]) -> list[int]:
+    """A signed 64-bit hash of the first 1, 2, 3, ... words."""
+    h, out = hashlib.blake2b(digest_size=8), []
+    for w in words:
+        h.update(w.encode("utf-8", "surrogatepass") + b" ")
+        out.append(int.from_bytes(h.copy().digest(), "big", signed=True))
+    return out
+
+
+def marked(items: DataFrame, item: str, text: str) -> DataFrame:
+    """``(item, text, opening, turns)`` of the items with a triple of words: what is no evidence beside an opening, and the opening's length.
+
+    The opening is the longest beginning, of at least ``SHINGLE`` words and less than
+    half the item, that ``SHARED_BY`` different texts share, those that also
+    share the item's first half counted as one: a beginning of half the
+    item or more is a common passage.  ``turns`` are the places of triples that
+    stand between ``SHARED_BY`` different pairs of neighbours; inside a common
+    passage the neighbours are the same.  All items are counted, each text
+    once, so copies of an item and the chunks make no difference.
+    """
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w = [passage_words(t) for t in b[text]]
+            b = b.assign(key=[_hashes([" ".join(x)])[0] for x in w])
+            yield b[[len(x) >= SHINGLE for x in w]]
+
+    def beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, t in zip(b["key"], b[text], strict=True):
+                p = _hashes(passage_words(t))
+                half = math.ceil(len(p) * CONTAINMENT)
+                rows += [(key, k, h, k == half, SHINGLE <= k < half) for k, h in enumerate(p, 1) if k >= SHINGLE or k == half]
+            yield pd.DataFrame(rows, columns=["key", "k", "p", "half", "short"])
+
+    def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, t in zip(b["key"], b[text], strict=True):
+                w = ["", *passage_words(t), ""]
+                rows += [(key, k, " ".join(w[k + 1 : k + 1 + SHINGLE]), f"{w[k]} {w[k + 1 + SHINGLE]}") for k in range(len(w) - SHINGLE - 1)]
+            yield pd.DataFrame(rows, columns=["key", "at", "t", "between"])
+
+    known = materialise(items.select(F.col(item).cast("bigint").alias(item), text).where(F.col(item).isNotNull()).mapInPandas(keyed, f"{item} bigint, {text} string, key bigint"), "items")
+    texts = materialise(known.dropDuplicates(["key"]).select("key", text), "texts")
+    each = materialise(texts.mapInPandas(beginnings, "key bigint, k int, p bigint, half boolean, short boolean"), "beginnings")
+    counted = each.where("half or short").join(each.groupBy("p").agg(F.count("*").alias("n")), "p")
+    half = counted.where("half").select("key", F.col("n").alias("same"))
+    opening = counted.where("short").join(half, "key").where(F.col("n") - F.col("same") >= SHARED_BY - 1).groupBy("key").agg(F.max("k").alias("opening"))
+    stand = materialise(texts.mapInPandas(triples, "key bigint, at int, t string, between string"), "triples")
+    turns = stand.select("t", "between").distinct().groupBy("t").count().where(F.col("count") >= SHARED_BY)
+    turns = stand.join(turns, "t", "left_semi").groupBy("key").agg(F.collect_list("at").alias("turns"))
+    out = known.join(opening, "key", "left").join(turns, "key", "left")
+    return out.select(item, text, F.coalesce("opening", F.lit(0)).alias("opening"), F.coalesce("turns", F.array().cast("array<int>")).alias("turns"))
+
+
 def leaked(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc, item)``: each document that holds at least half of an item's words as one passage, at most two of them replaced.
 
@@ -174,8 +239,8 @@ def leaked(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: st
     """
     spark = documents.sparkSession
     out = None
-    for chunk in _chunks(items.select(F.col(item).cast("bigint"), item_text)):
-        index = spark.sparkContext.broadcast(ItemIndex(chunk))
+    for chunk in _chunks(materialise(marked(items, item, item_text), "marked")):
+        index = spark.sparkContext.broadcast(ItemIndex([x[:2] for x in chunk], [x[2:] for x in chunk]))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -189,18 +254,16 @@ def leaked(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: st
     return out.distinct()
 
 
-def _chunks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
+def _chunks(items: DataFrame) -> Iterator[list[tuple[int, list[str], int, list[int]]]]:
     """The items in blocks that keep a broadcast below its bound; the driver holds one block at a time."""
-    block: list[tuple[int, list[str]]] = []
+    block: list[tuple[int, list[str], int, list[int]]] = []
     size = 0
-    for i, t in items.toLocalIterator():
+    for i, t, opening, turns in items.toLocalIterator():
         w = passage_words(t)
-        if i is None or len(w) < SHINGLE:
-            continue
         if block and size + len(w) > CHUNK_TRIPLES:
             yield block
             block, size = [], 0
-        block.append((i, w))
+        block.append((i, w, opening, turns))
         size += len(w)
     if block:
         yield block

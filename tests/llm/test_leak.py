@@ -64,3 +64,21 @@ def test_stray_line_and_long_text():
     assert ix.found_in(["q"] * 50_000 + w[2:9] + ["12"] + w[9:16] + ["q"]) == [1]
     assert ix.found_in(w[:6]) == [] and ix.found_in([]) == []
     assert L.sketch_size(40) == 40 and L.sketch_size(5000) < 200
+
+
+@pytest.mark.parametrize("chunk", [4_000_000, 30])
+def test_shared_wording(spark, monkeypatch, chunk):
+    """Copies of an item and a common passage leak like other words; an opening and a scrap do not, in whatever chunks."""
+    monkeypatch.setattr(L, "CHUNK_TRIPLES", chunk)
+    w = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    opener = w("open", 9)
+    items = [(k, w("copy", 20)) for k in range(4)]  # one text
+    items += [(10 + k, f"{w('pass', 14)} {w(f'ask{k}', 6)}") for k in range(3)]  # one passage, first
+    items += [(20 + k, f"{w(f'say{k}', 4)} {w('mid', 14)} {w(f'end{k}', 2)}") for k in range(3)]  # one passage, inside
+    items += [(30 + k, f"{opener} {w(f'own{k}', 11)}") for k in range(4)]
+    items += [(40 + k, f"{opener} {w('base', 9)} {w(f'last{k}', 2)}") for k in range(3)]  # an opening, then a passage
+    items += [(50 + k, f"{opener} on{k} or to{k} gives way to {w(f'rest{k}', 6)}") for k in range(4)]  # a turn of speech
+    docs = [(1, f"q q {w('copy', 20)} q"), (2, f"q {w('pass', 12)} q"), (3, f"q {w('mid', 12)} q"), (4, f"q {opener} own00 own01 q"), (5, f"q {opener} own10 own11 x own13 q"), (6, f"q {opener} base0 q"), (7, f"q {opener} {w('base', 5)} q"), (8, f"q {opener} x or y gives way to q"), (9, f"q {opener} own30 x own32 y own34 q")]
+    want = {(1, k) for k in range(4)} | {(2, 10 + k) for k in range(3)} | {(3, 20 + k) for k in range(3)} | {(5, 31), (9, 33)} | {(7, 40 + k) for k in range(3)}
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    assert {tuple(r) for r in L.leaked(d, i).collect()} == want
