@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
-from paperloom.llm.textforms import doi_key, mistyped, same_title, title_tokens
+from paperloom.llm.textforms import MOST_SLIPS, doi_key, mistyped, same_title, title_tokens
 from paperloom.session import materialise
 
 TREES = 24
@@ -39,8 +39,8 @@ COMMON_SHARE = 0.0005
 COMMON_LEAST = 20
 #: Words up to this length show all their deletions; longer ones three pieces of ``PIECE`` letters, of which two edits leave one whole.
 LONG, PIECE = 42, 8
-#: Titles whose 64-bit word parities differ in more bits have more differing words than a verified pair may have.
-PARITY_BITS = 8
+#: Titles whose 64-bit word parities differ in more bits have more slips than a verified pair may have; a slip flips a bit for each of its two forms.
+PARITY_BITS = 2 * MOST_SLIPS
 
 _SEED = np.random.default_rng(7).integers(1, 2**63, size=(2, TREES * DEPTH), dtype=np.uint64) | np.uint64(1)
 

@@ -163,7 +163,11 @@ def mistyped(a: str, b: str, common: frozenset | set) -> bool:
     return (ca or cb) and min(len(a), len(b)) >= 5 and edits(a, b, 2) <= 2
 
 
-def same_title(x: list[str], y: list[str], common: frozenset | set, most: int = 6) -> bool:
+#: Words of a title that may be slips.
+MOST_SLIPS = 6
+
+
+def same_title(x: list[str], y: list[str], common: frozenset | set, most: int = MOST_SLIPS) -> bool:
     """Whether two sorted word lists are one title but for slips in at most ``most`` words. Empty lists are never the same."""
     if not x or not y:
         return False

@@ -115,6 +115,15 @@ def test_pairs_of_little_similarity(spark, monkeypatch):
     assert len(seen) == 3  # one run for each batch
 
 
+def test_parity_keeps_every_slip_of_a_long_title(spark):
+    rnd = random.Random(9)
+    data = []
+    for i in range(0, 40, 2):
+        w = ["".join(rnd.choice("bcdfghjklmnpqrtvwxz") for _ in range(8)) for _ in range(14)]
+        data += [(i, 0, None, None, " ".join(w), 1), (i + 1, 1, None, None, " ".join(x[1:] if k < 6 else x for k, x in enumerate(w)), 1)]
+    assert {tuple(r) for r in H.repeats(spark.createDataFrame(data, SCHEMA)).collect()} == {(i, i + 1) for i in range(0, 40, 2)}
+
+
 def test_slip_classes_hold_every_pair(spark):
     rnd = random.Random(4)
     words = {"".join(rnd.choice("abc") for _ in range(rnd.choice([2, 3, 4, 5, 6, 38, 40, 42, 43, 60]))) for _ in range(150)}
