@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables made so far by the operators that are running, one list for each.
+_made: list[list[tuple[SparkSession, str]]] = []
+
 
 def local_session(app: str = "paperloom", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
@@ -28,11 +33,14 @@ def local_session(app: str = "paperloom", cores: str = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session; a temporary one only where that is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session; where that is unset, a temporary one on a single machine and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,14 +55,45 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex[:12]}"
+    if _made:
+        _made[-1].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
 def drop_materialised(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialise` once nothing reads them."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for f in _folders(df):
+        _delete(df.sparkSession, f)
+
+
+def tidy(operator: Callable) -> Callable:
+    """An operator whose intermediate tables are deleted when it returns, but for those that its results read."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        _made.append([])
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            made = _made.pop()
+        if made:
+            results = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+            names = {f.rsplit("/", 1)[1] for x in results for f in _folders(x)}
+            for spark, path in made:
+                if path.rsplit("/", 1)[1] not in names:
+                    _delete(spark, path)
+                elif _made:
+                    _made[-1].append((spark, path))
+        return out
+
+    return run
