@@ -324,9 +324,9 @@ def _gram_counts(forms: DataFrame) -> np.ndarray:
         there = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": there, "n": total[there]})
 
+    n = forms.select("tokens").mapInPandas(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in forms.select("tokens").mapInPandas(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
+    out[n["bucket"].to_numpy()] = n["n"].to_numpy()
     return out
 
 
@@ -371,10 +371,11 @@ def links_of(forms: DataFrame) -> DataFrame:
     return both.mapInPandas(verify, "a bigint, b bigint, how int")
 
 
-def _roots(nodes: DataFrame, links: DataFrame, node: str, root: str) -> DataFrame:
-    """``nodes`` with ``root`` replaced by the root of its component under ``links``."""
-    of = components(links).toDF(root, "_to")
-    return materialise(nodes.join(of, root, "left").select(node, F.coalesce("_to", root).alias(root)), "roots")
+def _joining(fits: DataFrame) -> DataFrame:
+    """``(e, to)`` of the entities that fit one other; one whose target joins another entity waits for that."""
+    one = fits.groupBy("x").agg(F.min("y").alias("y"), F.count("*").alias("k")).where("k = 1").select("x", "y")
+    out = one.join(one.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").where("z is null or (z = x and y < x)")
+    return out.select(F.col("x").alias("e"), F.col("y").alias("to"))
 
 
 @tidy
@@ -390,15 +391,16 @@ def entities(names: DataFrame, name: str = "val") -> tuple[DataFrame, DataFrame]
     """
     spellings, forms = forms_of(names, name)
     links = materialise(links_of(forms), "links")
-    root = _roots(forms.select("form_id", F.col("form_id").alias("e")), links.where("how = 1").select("a", "b"), "form_id", "e")
+    of = components(links.where("how = 1"))
+    root = materialise(forms.select(F.col("form_id").alias("node")).join(of, "node", "left").select(F.col("node").alias("form_id"), F.coalesce("root", "node").alias("e")), "roots")
     open_ = links.where("how = 2").select("a", "b")
     while True:
         fits = open_.join(root.toDF("a", "x"), "a").join(root.toDF("b", "y"), "b").where("x <> y").select("x", "y").distinct()
         fits = materialise(fits, "fits")
-        one = fits.groupBy("x").agg(F.min("y").alias("y"), F.count("*").alias("k")).where("k = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        one = materialise(_joining(fits), "joining")
         if one.isEmpty():
             break
-        root = _roots(root, one, "form_id", "e")
+        root = materialise(root.join(one, "e", "left").select("form_id", F.coalesce("to", "e").alias("e")), "roots")
     of = spellings.join(root, "form_id").select("val", "middle", F.col("e").alias("entity"))
     return of, fits.select(F.least("x", "y").alias("entity"), F.greatest("x", "y").alias("other")).distinct()
 
