@@ -1,24 +1,27 @@
-"""Problem 1: new batches against all accepted history, with a forest of sorted signature permutations.
-
-What the verifier accepts may share few letters (one slip in a short title
-changes most of its trigrams), so titles are compared by the classes of their
-words: two words of which one may be a slip of the other are of one class, and
-so is what further slips join.  Titles that the verifier accepts have the same
-classes, that is similarity 1, and meet in every tree under the whole key;
-one tree of ``DEPTH`` one-byte min-hash values reaches any recall target then.
-Without classes a key is made of the letter trigrams of the words, and ``TREES``
-trees and a prefix as short as the target demands are needed.
-
-A run of the forest is the table of keys sorted by tree and key.  A batch
-locates its entries by the keys that share a prefix, and the pairs found are
-verified word by word.
-
-Equal canonical titles never meet in the forest: they are one class with one
-entry, so a title that fills a third of the rows costs one entry.
+"""Problem 1: new batches against all accepted history, with a prefix-tree hash forest.
+
+A title's features are the letter trigrams of its words, where a rare word that
+is one slip away from a word in wide use counts as that word.  ``TREES``
+permutations of the features give as many signatures of ``DEPTH`` one-byte
+min-hash values.  Accepted titles are kept as runs sorted by tree and
+signature (:mod:`paperloom.llm.runs`), with the titles themselves and the DOIs.
+
+A batch locates its entries in every tree by range search: the range of all
+signatures with a common prefix.  Prefixes are widened from ``DEPTH`` bytes to
+the depth at which pairs of similarity ``SIMILARITY`` are found with the wanted
+recall; an entry whose work is found under a longer prefix doesn't widen.  What is
+found is verified word by word, the batch becomes a run, and many runs are
+merged.  Neither the rows read nor the rows written for a batch grow with the
+history, but for merges.
+
+Equal canonical titles of a batch are one entry, so a title that fills a third
+of the rows costs one entry a batch.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,22 +30,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
-from paperloom.llm.textforms import MOST_SLIPS, doi_key, mistyped, same_title, title_tokens
-from paperloom.session import materialise
+from paperloom.llm.runs import Reader, by_range, rows_of, size_of, write_run
+from paperloom.llm.textforms import MOST_SLIPS, doi_key, same_title, title_tokens, within_one
+from paperloom.session import _delete, materialise, shared_dir, tidy
 
 TREES = 24
 DEPTH = 8
-SIMILARITY = 0.8
-RECALL = 0.97
-#: A word in this share of the distinct titles or more is in wide use; at most ``words per title / share`` words can be.
-COMMON_SHARE = 0.0005
-COMMON_LEAST = 20
-#: Words up to this length show all their deletions; longer ones three pieces of ``PIECE`` letters, of which two edits leave one whole.
-LONG, PIECE = 42, 8
+#: Pairs of this similarity are found with this probability once prefixes are widened.
+SIMILARITY, RECALL = 0.72, 0.97
+#: A word in this share of the accepted titles (and in so many of them) or more is in wide use; at most ``words per title / share`` words can be.
+COMMON_SHARE, COMMON_LEAST = 0.0005, 20
 #: Titles whose 64-bit word parities differ in more bits have more slips than a verified pair may have; a slip flips a bit for each of its two forms.
 PARITY_BITS = 2 * MOST_SLIPS
+#: The trees that hold hashes of whole canonical titles and of DOIs, and the titles themselves by their number.
+TITLE_TREE, DOI_TREE, TEXT_TREE = TREES, TREES + 1, TREES + 2
 
 _SEED = np.random.default_rng(7).integers(1, 2**63, size=(2, TREES * DEPTH), dtype=np.uint64) | np.uint64(1)
+_TOP = np.uint64(1 << 63)
 
 
 def prefix_depth(trees: int = TREES, depth: int = DEPTH, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
@@ -96,15 +100,38 @@ def hash_word(w: str) -> int:
 
 
 def tree_keys(tokens: list[str]) -> np.ndarray:
-    """One signed 64-bit key for each tree: ``DEPTH`` min-hash bytes, the first the most significant."""
-    return _keys(_grams(tokens), TREES)
-
-
-def _keys(hashes: np.ndarray, trees: int) -> np.ndarray:
-    n = trees * DEPTH
-    low = _mix(hashes[:, None] * _SEED[0, :n] + _SEED[1, :n]).min(axis=0)
-    bytes_ = (_mix(low) & np.uint64(0xFF)).astype(np.uint8).reshape(trees, DEPTH)
-    return np.ascontiguousarray(bytes_).view(">i8").reshape(trees).astype(np.int64)
+    """One 64-bit key for each tree: ``DEPTH`` min-hash bytes, the first the most significant, moved so that signed numbers keep their order."""
+    low = _mix(_grams(tokens)[:, None] * _SEED[0] + _SEED[1]).min(axis=0)
+    bytes_ = (_mix(low) & np.uint64(0xFF)).astype(np.uint8).reshape(TREES, DEPTH)
+    return (np.ascontiguousarray(bytes_).view(">u8").reshape(TREES).astype(np.uint64) ^ _TOP).view(np.int64)
+
+
+class Corrector:
+    """Words in wide use for rare words that are one slip away from them."""
+
+    def __init__(self, common: set[str] | frozenset[str]):
+        self.common, self.known = common, {}
+        self.near: dict[str, list[str]] = {}
+        for w in sorted(common):
+            if len(w) >= 3:
+                for x in self._shown(w):
+                    self.near.setdefault(x, []).append(w)
+
+    @staticmethod
+    def _shown(w: str) -> set[str]:
+        return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+    def __call__(self, w: str) -> str:
+        if w in self.common or not 3 <= len(w) <= 42 or w.isdigit():
+            return w
+        got = self.known.get(w)
+        if got is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            met = {c for x in self._shown(w) for c in self.near.get(x, ())}
+            fits = [c for c in met if max(len(c), len(w)) >= 4 and not c.isdigit() and within_one(c, w)]
+            got = self.known[w] = min(fits, default=w)
+        return got
 
 
 def canonical(records: DataFrame, no: str = "cand_no", title: str = "title", doi: str = "doi", id: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -139,216 +166,213 @@ def common_words(titles: DataFrame, canon: str = "canon") -> set[str]:
     return {r.w for r in words.collect()}
 
 
-def forest_run(titles: DataFrame, cid: str = "cid", canon: str = "canon") -> DataFrame:
-    """A run of the forest, unsorted: ``(tree, key, cid, parity)``, one row for each tree and distinct title.
+_KEYS = "tree int, key bigint, cid bigint, parity bigint, words int"
+_ENTRY = f"{_KEYS}, canon string"
 
-    Titles that bear ``classes`` (see :func:`with_classes`) have one tree over
-    those, others ``TREES`` trees over letter trigrams.
-    """
-    classed = "classes" in titles.columns
-    n = 1 if classed else TREES
+
+def forest_rows(titles: DataFrame, common: set[str]) -> DataFrame:
+    """The entries of distinct titles ``(cid, canon)``: one for each tree, one with a hash of the whole title and one with the title."""
+    sent = titles.sparkSession.sparkContext.broadcast(frozenset(common))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = np.arange(n, dtype=np.int8)
+        correct = Corrector(sent.value)
         for b in batches:
-            tokens = [c.split(" ") for c in b[canon]]
-            if not tokens:
-                continue
-            keys = np.concatenate([_keys(_mix(np.unique(c).astype(np.int64).view(np.uint64)), n) for c in b["classes"]] if classed else [tree_keys(t) for t in tokens])
-            yield pd.DataFrame(
-                {"tree": np.tile(trees, len(tokens)), "key": keys, "cid": np.repeat(b[cid].to_numpy(), n), "parity": np.repeat(np.array([parity(t) for t in tokens], dtype=np.int64), n)}
-            )
+            tokens = [c.split(" ") for c in b["canon"]]
+            if tokens:
+                yield pd.DataFrame(
+                    {
+                        "tree": np.tile(np.arange(TREES, dtype=np.int32), len(tokens)), "key": np.concatenate([tree_keys([correct(w) for w in t]) for t in tokens]), "cid": np.repeat(b["cid"].to_numpy(), TREES),
+                        "parity": np.repeat(np.array([parity(t) for t in tokens], dtype=np.int64), TREES), "words": np.repeat(np.array([len(t) for t in tokens], dtype=np.int32), TREES),
+                    }
+                )
 
-    return titles.select(cid, canon, *["classes"] * classed).mapInPandas(run, "tree tinyint, key bigint, cid bigint, parity bigint")
+    none = F.lit(None).cast("string").alias("canon")
+    whole = titles.select(F.lit(TITLE_TREE).alias("tree"), F.xxhash64("canon").alias("key"), "cid", F.xxhash64(F.lit(1), "canon").alias("parity"), F.lit(0).alias("words"), none)
+    text = titles.select(F.lit(TEXT_TREE).alias("tree"), F.xxhash64("cid").alias("key"), "cid", F.lit(0).cast("bigint").alias("parity"), F.lit(0).alias("words"), "canon")
+    return titles.select("cid", "canon").mapInPandas(run, _KEYS).withColumn("canon", none).unionByName(whole).unionByName(text)
 
 
-def _shown(word: str, far: bool) -> set[str]:
-    """What a word shows of itself: of two words within one edit (two if ``far``) each shows something that the other shows too."""
-    out = set()
-    if len(word) <= LONG:
-        new = {word}
-        for _ in range(1 + far):
-            out |= new
-            new = {w[:i] + w[i + 1 :] for w in new for i in range(len(w))}
-        out |= new
-    if len(word) >= LONG - 2:  # an edit moves what follows it by one
-        out |= {"<" + word[:PIECE], ">" + word[-PIECE:], *("=" + word[k : k + PIECE] for k in (PIECE + 2, PIECE + 3, PIECE + 1))}
-    return out
+def doi_rows(dois: DataFrame) -> DataFrame:
+    """The entries of the distinct DOIs ``(cid, doi_key)``."""
+    return dois.select(F.lit(DOI_TREE).alias("tree"), F.xxhash64("doi_key").alias("key"), "cid", F.xxhash64(F.lit(1), "doi_key").alias("parity"), F.lit(0).alias("words"), F.lit(None).cast("string").alias("canon"))
 
 
-def slip_classes(words: DataFrame, common: set[str]) -> DataFrame:
-    """``(w, class)`` of the distinct words ``(w)`` that are of one class with another; every other word is a class alone, ``xxhash64(w)``.
+def range_search(probes: DataFrame, runs: list[str], own: str, least: int) -> DataFrame:
+    """Distinct ``(p, r, depth)`` of a probe and another entry of the runs; of the run ``own``, which the probes are, an entry with a smaller ``cid``.
 
-    Exact: all pairs of words that ``mistyped`` accepts are joined, however
-    long the words.  Two words in wide use are no pair, and two edits need one
-    that is, so only words in wide use meet others by two deletions.
+    ``depth`` is the longest common prefix of their keys in any tree, from ``least`` bytes on, for
+    pairs of equally many words of which few may differ; it is 9 for equal
+    titles and DOIs (128 bits compared).
     """
-    widely = words.sparkSession.sparkContext.broadcast(frozenset(common))
+    free = np.uint64((1 << 8 * (DEPTH - least)) - 1)
 
-    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for w in b["w"]:
-                if len(w) >= 3 and not w.isdigit():
-                    c, near = w in widely.value, _shown(w, False)
-                    out += [(x, w, c, True) for x in near]
-                    if len(w) >= 5:
-                        out += [(x, w, c, False) for x in _shown(w, True) - near]
-            yield pd.DataFrame(out, columns=["x", "w", "c", "near"])
-
-    def slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(runs, ["cid", "parity", "words"])
         for b in batches:
-            yield b.loc[[mistyped(v, w, widely.value) for v, w in zip(b["v"], b["w"], strict=True)], ["a", "b"]]
-
-    shown = materialise(words.select("w").mapInPandas(show, "x string, w string, c boolean, near boolean"), "shown")
-    wide, rare = shown.where("c").select("x", F.col("w").alias("v")), shown.where("not c").select("x", "w")
-    near = shown.where("not c and near")
-    met = wide.join(rare, "x").select("v", "w").unionByName(near.select("x", F.col("w").alias("v")).join(near.select("x", "w"), "x").where("v < w").select("v", "w"))
-    links = met.distinct().select("v", "w", F.xxhash64("v").alias("a"), F.xxhash64("w").alias("b")).mapInPandas(slips, "a bigint, b bigint")
-    return words.select("w", F.xxhash64("w").alias("node")).join(components(links), "node").select("w", F.col("root").alias("class"))
-
-
-def with_classes(titles: DataFrame, common: set[str], canon: str = "canon") -> DataFrame:
-    """``titles`` with ``classes``, the classes of each title's words: two titles of :func:`same_title` have the same set.
-
-    The words in wide use are sent to every task with their classes; the
-    others are few in a title and joined.
-    """
-    spark = titles.sparkSession
-    used = spark.createDataFrame([(w,) for w in sorted(common)], "w string")
-    each = titles.select("cid", F.explode(F.array_distinct(F.split(canon, " "))).alias("w")).join(F.broadcast(used), "w", "left_anti")
-    each = materialise(each, "words")
-    classes = materialise(slip_classes(each.select("w").distinct().unionByName(used), common), "classes")
-    of_used = {r.w: r["class"] for r in used.select("w", F.xxhash64("w").alias("own")).join(classes, "w", "left").select("w", F.coalesce("class", "own").alias("class")).collect()}
-    widely = spark.sparkContext.broadcast(of_used)
-    rare = each.join(classes, "w", "left").groupBy("cid").agg(F.collect_list(F.coalesce("class", F.xxhash64("w"))).alias("rare"))
+            b = b.sort_values(["tree", "key"], kind="stable")
+            out = [pd.DataFrame({"p": [], "r": [], "depth": []}, dtype=np.int64)]
+            for tree, part in b.groupby("tree"):
+                key, cid, bits, words = (part[c].to_numpy() for c in ("key", "cid", "parity", "words"))
+                k = key.view(np.uint64)
+                low, high = (key, key) if tree >= TITLE_TREE else ((k & ~free).view(np.int64), (k | free).view(np.int64))
+                for probe, rows, file in reader.ranges(int(tree), low, high):
+                    apart = np.bitwise_count((bits[probe] ^ rows["parity"]).view(np.uint64))
+                    other = rows["cid"] < cid[probe] if file.startswith(own) else rows["cid"] != cid[probe]
+                    ok = other & (words[probe] == rows["words"]) & (apart <= (0 if tree >= TITLE_TREE else PARITY_BITS))
+                    probe, r = probe[ok], rows["cid"][ok]
+                    differ = k[probe] ^ rows["key"][ok].view(np.uint64)
+                    depth = np.full(len(probe), least if tree < TITLE_TREE else DEPTH + 1)
+                    for d in range(least + 1, DEPTH + 1) if tree < TITLE_TREE else ():
+                        depth[differ >> np.uint64(8 * (DEPTH - d)) == 0] = d
+                    out.append(pd.DataFrame({"p": cid[probe], "r": r, "depth": depth}))
+            yield pd.concat(out, ignore_index=True).groupby(["p", "r"], as_index=False)["depth"].max()
+
+    return probes.select("tree", "key", "cid", "parity", "words").where(F.col("tree") < TEXT_TREE).mapInPandas(run, "p bigint, r bigint, depth int").groupBy("p", "r").agg(F.max("depth").alias("depth"))
+
+
+def fetch(ids: DataFrame, runs: list[str]) -> DataFrame:
+    """``(cid, canon)`` of the distinct titles ``(cid)``, by range search."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = widely.value
+        reader = Reader(runs, ["cid", "canon"])
         for b in batches:
-            yield b.drop(columns="rare").assign(classes=[[*({of[w] for w in c.split(" ") if w in of} | set([] if r is None else r))] for c, r in zip(b[canon], b["rare"], strict=True)])
-
-    kinds = ", ".join(f"{c} {k}" for c, k in titles.dtypes)
-    return titles.join(rare, "cid", "left").mapInPandas(run, f"{kinds}, classes array<bigint>")
+            b = b.sort_values("key", kind="stable")
+            key, cid = b["key"].to_numpy(), b["cid"].to_numpy()
+            for probe, rows, _ in reader.ranges(TEXT_TREE, key, key):
+                ok = cid[probe] == rows["cid"]
+                yield pd.DataFrame({"cid": rows["cid"][ok], "canon": rows["canon"][ok]})
 
-
-def range_search(probes: DataFrame, run: DataFrame, depth: int) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, of a run's entry and a probe that share a key prefix of ``depth`` bytes in some tree and may differ in few words only."""
-    shift = 8 * (DEPTH - depth)
-    left = run.select("tree", F.shiftright("key", shift).alias("p"), F.col("cid").alias("a"), F.col("parity").alias("pa"))
-    right = probes.select("tree", F.shiftright("key", shift).alias("p"), F.col("cid").alias("b"), F.col("parity").alias("pb"))
-    near = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= PARITY_BITS
-    return left.join(right, ["tree", "p"]).where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keyed = ids.select(F.lit(0).alias("tree"), F.xxhash64("cid").alias("key"), "cid")
+    return by_range(keyed, 1).mapInPandas(run, "cid bigint, canon string")
 
 
 def verified(pairs: DataFrame, titles: DataFrame, common: set[str]) -> DataFrame:
-    """The pairs whose canonical titles are one title but for slips of the keyboard."""
+    """``(a, b)`` links of ``pairs (p, r, depth)`` whose titles are one but for slips of the keyboard; a probe that is linked under a longer prefix is not compared under shorter ones."""
     t = titles.select("cid", "canon")
-    both = pairs.join(t.select(F.col("cid").alias("a"), F.col("canon").alias("ca")), "a").join(t.select(F.col("cid").alias("b"), F.col("canon").alias("cb")), "b")
-    words = pairs.sparkSession.sparkContext.broadcast(frozenset(common))
+    both = pairs.join(t.select(F.col("cid").alias("p"), F.col("canon").alias("cp")), "p").join(t.select(F.col("cid").alias("r"), F.col("canon").alias("cr")), "r")
+    sent = pairs.sparkSession.sparkContext.broadcast(frozenset(common))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, reached = None, 0  # the probe, and the depth at which it was linked
         for b in batches:
-            yes = [same_title(x.split(" "), y.split(" "), words.value) for x, y in zip(b["ca"], b["cb"], strict=True)]
-            yield b.loc[yes, ["a", "b"]]
+            out = []
+            for p, r, depth, x, y in zip(b["p"], b["r"], b["depth"], b["cp"], b["cr"], strict=True):
+                if p != now:
+                    now, reached = p, 0
+                if depth >= reached and same_title(x.split(" "), y.split(" "), sent.value):
+                    reached = depth
+                    out.append((min(p, r), max(p, r)))
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    return both.select("a", "b", "ca", "cb").mapInPandas(run, "a bigint, b bigint")
+    return both.select("p", "r", "depth", "cp", "cr").repartition("p").sortWithinPartitions("p", F.desc("depth")).mapInPandas(run, "a bigint, b bigint")
 
 
 class HistoryForest:
-    """The persistent index of accepted works: sorted runs of title keys and tables of DOIs in the shared folder, one for each accepted batch until they are merged.
+    """The persistent index of accepted works in a folder that all executors share; a forest opened on the folder of another goes on where that stopped.
 
-    Titles with ``classes`` have to bear them in every batch, from one set of
-    words that holds those of all batches.
+    Words in wide use are those of the accepted titles; they are counted anew,
+    and the signatures made anew, when the number of titles has doubled.
     """
 
-    def __init__(self, spark: SparkSession, merge_at: int = 8):
+    def __init__(self, spark: SparkSession, folder: str | None = None, merge_at: int = 8):
         self.spark, self.merge_at = spark, merge_at
-        self.runs: list[DataFrame] = []
-        self.titles: list[DataFrame] = []
-        self.dois: list[DataFrame] = []
-
-    def met(self, keys: DataFrame, depth: int = DEPTH) -> DataFrame:
-        """Pairs ``(a, b)``, not yet verified, of a batch's keys and those of other accepted titles."""
-        return materialise(range_search(keys, _union(self.runs), depth), "met")
-
-    def probe(self, titles: DataFrame, common: set[str], recall: float = RECALL) -> DataFrame:
-        """Verified ``(a, b)`` links of a batch's titles ``(cid, canon)`` to accepted ones."""
-        if not self.runs:
-            return self.spark.createDataFrame([], "a bigint, b bigint")
-        known = _union(self.titles).unionByName(titles.select("cid", "canon")).distinct()
-        depth = DEPTH if "classes" in titles.columns else prefix_depth(recall=recall)
-        return materialise(verified(self.met(forest_run(titles), depth), known, common), "links")
-
-    def same_doi(self, dois: DataFrame) -> DataFrame:
-        """``(a, b)`` links of a batch's ``(cid, doi_key)`` to the accepted ones of the same DOI."""
-        if not self.dois:
-            return self.spark.createDataFrame([], "a bigint, b bigint")
-        both = _union(self.dois).withColumnRenamed("cid", "a").join(dois.select(F.col("cid").alias("b"), "doi_key"), "doi_key").where("a <> b")
-        return materialise(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "dois")
-
-    def accept(self, titles: DataFrame, dois: DataFrame | None = None) -> DataFrame:
-        """Append a batch's titles as one more run, sorted by tree and key, and its DOIs; merge the runs when there are many. The batch's run."""
-        own = materialise(_sorted(forest_run(titles)), "run")
+        self.folder = folder or f"{shared_dir(spark)}/paperloom/forest-{uuid.uuid4().hex[:12]}"
+        self.runs: list[str] = []
+        self.common: set[str] = set()
+        self.n = self.counted = self.version = 0
+        fs, path = self._fs(f"{self.folder}/state")
+        if fs.exists(path):
+            newest = max(fs.listStatus(path), key=lambda f: f.getPath().getName()).getPath().toString()
+            state = json.loads(spark.read.text(newest, wholetext=True).first().value)
+            self.runs, self.common = state["runs"], set(state["common"])
+            self.n, self.counted, self.version = state["n"], state["counted"], state["version"]
+
+    def _fs(self, place: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _save(self) -> None:
+        """A new version of the state, written beside it and renamed, so a forest is never seen half changed."""
+        self.version += 1
+        state = {"runs": self.runs, "common": sorted(self.common), "n": self.n, "counted": self.counted, "version": self.version}
+        fs, new = self._fs(f"{self.folder}/new")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        fs.mkdirs(self._fs(f"{self.folder}/state")[1])
+        fs.rename(new, self._fs(f"{self.folder}/state/{self.version:09d}.json")[1])
+
+    def _rows(self, runs: list[str]) -> DataFrame:
+        return rows_of(self.spark, runs, _ENTRY)
+
+    @tidy
+    def accept(self, titles: DataFrame, dois: DataFrame | None = None, recall: float = RECALL) -> DataFrame:
+        """Append a batch's distinct titles ``(cid, canon)`` and DOIs ``(cid, doi_key)`` as a run, and return its links ``(a, b)``, a < b, among itself and to what was accepted before.
+
+        A ``cid`` names a row of this batch only.  An empty batch changes nothing but the version.
+        """
+        if not self.counted:
+            self.common, self.counted = common_words(titles), titles.count()
+        rows = forest_rows(titles, self.common)
+        own = write_run(rows if dois is None else rows.unionByName(doi_rows(dois)), self.folder, TEXT_TREE + 1)
         self.runs.append(own)
-        self.titles.append(materialise(titles.select("cid", "canon"), "titles"))
-        if dois is not None:
-            self.dois.append(materialise(dois.select("cid", "doi_key"), "dois"))
-        if len(self.runs) > self.merge_at:
-            self.runs = [materialise(_sorted(_union(self.runs)), "run")]
-            self.titles = [materialise(_union(self.titles), "titles")]
-        if len(self.dois) > self.merge_at:
-            self.dois = [materialise(_union(self.dois), "dois")]
-        return own
-
-
-def _sorted(run: DataFrame) -> DataFrame:
-    return run.repartition("tree", "key").sortWithinPartitions("tree", "key")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        met = materialise(range_search(self._rows([own]), self.runs, own, prefix_depth(recall=recall)), "met")
+        sure, open_ = met.where(F.col("depth") > DEPTH), met.where(F.col("depth") <= DEPTH)
+        known = materialise(fetch(open_.select(F.explode(F.array("p", "r")).alias("cid")).distinct(), self.runs), "fetched")
+        links = verified(open_, known, self.common).unionByName(sure.select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")))
+        links = materialise(links, "links")
+        self.n += size_of(own, TEXT_TREE)
+        old: list[str] = []
+        if self.n >= 2 * self.counted:
+            every = self._rows(self.runs)
+            titles = every.where(F.col("tree") == TEXT_TREE).select("cid", "canon")
+            old, self.common, self.counted = self.runs, common_words(titles), self.n
+            self.runs = [write_run(forest_rows(titles, self.common).unionByName(every.where(F.col("tree") == DOI_TREE)), self.folder, TEXT_TREE + 1)]
+        elif len(self.runs) > self.merge_at:
+            old, self.runs = self.runs, [write_run(self._rows(self.runs), self.folder, TEXT_TREE + 1)]
+        self._save()
+        for run in old:
+            _delete(self.spark, run)
+        return links
+
+    def drop(self) -> None:
+        """Delete the index."""
+        _delete(self.spark, self.folder)
+
+
+@tidy
+def replay(titles: DataFrame, dois: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of works: the batches of ``titles (cid, canon, batch)`` and ``dois (cid, doi_key, batch)`` go through a forest one after the other."""
+    spark = titles.sparkSession
+    forest = HistoryForest(spark)
+    links = []
+    for n in sorted({r.batch for t in (titles, dois) for r in t.select("batch").distinct().collect()}):
+        links.append(forest.accept(titles.where(F.col("batch") == n), dois.where(F.col("batch") == n)))
+    forest.drop()
+    out = spark.createDataFrame([], "a bigint, b bigint")
+    for x in links:
+        out = out.unionByName(x)
     return out
 
 
-def replay(titles: DataFrame, dois: DataFrame, common: set[str]) -> DataFrame:
-    """Links ``(a, b)`` of works: the batches of ``titles (cid, canon, batch)`` and ``dois (cid, doi_key, batch)`` go through a forest one after the other.
-
-    A batch is accepted and then probes all that is accepted, itself included;
-    what meets in all batches is verified at once.
-    """
-    forest = HistoryForest(titles.sparkSession)
-    titles = materialise(with_classes(titles, common), "classed")
-    batches = sorted({r.batch for t in (titles, dois) for r in t.select("batch").distinct().collect()})
-    met, links = [], []
-    for n in batches:
-        t, d = titles.where(F.col("batch") == n), dois.where(F.col("batch") == n)
-        links.append(forest.same_doi(d))
-        met.append(forest.met(forest.accept(t, d)))
-    if not batches:
-        return titles.sparkSession.createDataFrame([], "a bigint, b bigint")
-    return verified(_union(met).distinct(), titles, common).unionByName(_union(links))
-
-
+@tidy
 def works(records: DataFrame, no: str = "cand_no", title: str = "title", doi: str = "doi", id: str = "id", keep: tuple[str, ...] = (), batch: str | None = None) -> DataFrame:
     """``(no, *keep, work)`` for every row; ``work`` is the smallest ``no`` of the rows of its work.
 
     Rows are of one work if they bear one DOI or one title (up to typing,
     markup, spelling, order), directly or through other rows.  The batches
     (numbers in ``batch``, which is one of ``keep``; a missing number is 0) are
-    replayed in order; without ``batch`` all rows are one.  A row without DOI
+    go through the forest in order; without ``batch`` all rows are one.  A row without DOI
     and title is its own work.  Repeated rows are the same work; an empty table
     gives none.
     """
     rows = materialise(canonical(records, no, title, doi, id, keep), "rows")
     at = F.coalesce(F.col(batch).cast("bigint"), F.lit(0)) if batch else F.lit(0).cast("bigint")
     row = rows.select(F.col(no).cast("bigint").alias("n"), "doi_key", "canon", at.alias("batch"))
-    titles = materialise(row.where("canon is not null").groupBy("canon").agg(F.min("n").alias("cid"), F.min_by("batch", "n").alias("batch")), "titles")
+    titles = materialise(row.where("canon is not null").groupBy("canon", "batch").agg(F.min("n").alias("cid")), "titles")
     of_doi = materialise(row.where("doi_key is not null").groupBy("doi_key", "batch").agg(F.min("n").alias("cid")), "of_doi")
-    links = replay(titles, of_doi, common_words(titles))
-    by_title = row.where("canon is not null").join(titles.select("canon", "cid"), "canon").select(F.col("n").alias("a"), F.col("cid").alias("b"))
+    links = replay(titles, of_doi)
+    by_title = row.where("canon is not null").select("n", "canon", "batch").join(titles, ["canon", "batch"]).select(F.col("n").alias("a"), F.col("cid").alias("b"))
     by_doi = row.where("doi_key is not null").select("n", "doi_key", "batch").join(of_doi, ["doi_key", "batch"]).select(F.col("n").alias("a"), F.col("cid").alias("b"))
     of = components(by_title.where("a <> b").unionByName(by_doi.where("a <> b")).unionByName(links))
     out = rows.select(no, *keep).join(of.withColumnRenamed("node", "_node"), F.col(no) == F.col("_node"), "left")

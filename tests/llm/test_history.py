@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm import history as H
 from paperloom.llm.components import components
+from paperloom.llm.runs import Reader, size_of, write_run
 from paperloom.llm.textforms import doi_key, mistyped, same_title, title_tokens, within_one
 
 SCHEMA = "cand_no bigint, batch_no int, id string, doi string, title string, a bigint"
@@ -47,7 +49,7 @@ def brute(data):
         return x
 
     tokens = {r[0]: title_tokens(r[4]) for r in data}
-    distinct = {tuple(t) for t in tokens.values() if t}
+    distinct = {tuple(tokens[r[0]]) for r in data if tokens[r[0]] and r[1] == 0}  # words in wide use are those of the history
     common = {w for w in {w for t in distinct for w in t} if sum(w in t for t in distinct) >= max(H.COMMON_LEAST, H.COMMON_SHARE * len(distinct))}
     for x in data:
         for y in data:
@@ -79,64 +81,98 @@ def test_one_title_of_a_third(spark):
     assert all(got[i] == 3 for i in range(51, 151) if i % 3 == 0)
 
 
-def test_incremental_equals_bulk(spark):
+def roots(links):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent if find(x) != x}
+
+
+def test_batches_merged_and_reopened_link_as_one_batch(spark):
     data = rows(5, 90)
-    c = H.canonical(spark.createDataFrame(data, SCHEMA), keep=("batch_no",)).where("canon is not null")
-    titles = c.groupBy("canon").agg(F.min("cand_no").alias("cid"), F.min_by("batch_no", "cand_no").alias("batch_no")).cache()
-    common = H.common_words(titles)
-    forest, found = H.HistoryForest(spark, merge_at=2), set()
+    c = H.canonical(spark.createDataFrame(data, SCHEMA), keep=("batch_no",))
+    titles = c.where("canon is not null").groupBy("canon", "batch_no").agg(F.min("cand_no").alias("cid")).cache()
+    dois = c.where("doi_key is not null").groupBy("doi_key", "batch_no").agg(F.min("cand_no").alias("cid")).cache()
+    forest, links = H.HistoryForest(spark, merge_at=2), []
     for b in range(9):
-        batch = titles.where(F.col("batch_no") == b).select("cid", "canon")
-        found |= {tuple(r) for r in forest.probe(batch, common).collect()}
-        inside = H.forest_run(batch)
-        found |= {tuple(r) for r in H.verified(H.range_search(inside, inside, H.prefix_depth()), batch, common).collect()}
-        forest.accept(batch)
-    run = H.forest_run(titles)
-    bulk = {tuple(r) for r in H.verified(H.range_search(run, run, H.prefix_depth()), titles, common).collect()}
-    linked = lambda links: {frozenset(x) for x in links}
-    # titles linked under a long prefix do not widen, so batches may hold fewer links but join the same titles
-    assert linked(found) <= linked(bulk) and {b for _, b in found} == {max(x) for x in bulk}
-    assert len(forest.runs) <= 3
-
-
-def test_pairs_of_little_similarity(spark, monkeypatch):
-    """What the verifier accepts is found however few trigrams are left; the DOI of another batch links too."""
-    long = "pneumono" * 6
-    titles = ["minh", "mihn", "abcd efgh ijkl mnop", "abdc efhg ijlk mnpo", "rxzvq", "rxvzq", "Some first name", "Other second thing", f"{long}tic", f"{long[1:]}tic"]
-    data = [(i + 1, i % 3, None, "10.90/s.1" if "name" in t or "thing" in t else None, t, 1) for i, t in enumerate(titles)]
-    # two edits of a word in wide use
-    data += [(100 + i, 0, None, None, f"market {chr(97 + i) * 6}", 1) for i in range(25)] + [(200, 1, None, None, "mzrkzt cccccc", 1)]
-    data += [(300, None, None, None, "minh", 1)]
-    seen = []
-    accept = H.HistoryForest.accept
-    monkeypatch.setattr(H.HistoryForest, "accept", lambda self, *a: (seen.append(1), accept(self, *a))[1])
-    found = {(r.work, r.cand_no) for r in H.works(spark.createDataFrame(data, SCHEMA), keep=("batch_no",), batch="batch_no").where("work < cand_no").collect()}
-    assert found == {(1, 2), (3, 4), (5, 6), (7, 8), (9, 10), (102, 200), (1, 300)}
-    assert len(seen) == 3  # one run for each batch
+        links += forest.accept(titles.where(F.col("batch_no") == b), dois.where(F.col("batch_no") == b)).collect()
+        forest = H.HistoryForest(spark, forest.folder, merge_at=2)  # as another session opens it
+        assert len(forest.runs) <= 2
+    bulk = H.HistoryForest(spark)
+    at_once = bulk.accept(titles.groupBy("canon").agg(F.min("cid").alias("cid")), dois.groupBy("doi_key").agg(F.min("cid").alias("cid"))).collect()
+    same = {tuple(r) for r in titles.groupBy("canon").agg(F.min("cid").alias("a")).join(titles, "canon").select("a", F.col("cid").alias("b")).collect()}
+    same |= {tuple(r) for r in dois.groupBy("doi_key").agg(F.min("cid").alias("a")).join(dois, "doi_key").select("a", F.col("cid").alias("b")).collect()}
+    assert all(a < b for a, b in links) and roots(list(links) + list(same)) == roots(at_once + list(same))
+    assert forest.n == titles.count() and forest.version == 9
+    forest.drop()
+
+
+def test_signatures_are_made_anew_when_titles_have_doubled(spark):
+    base = [f"market {chr(97 + i) * 6} {chr(98 + i) * 5}" for i in range(24)]
+    forest = H.HistoryForest(spark)
+    frame = lambda ts, start: spark.createDataFrame([(start + i, t) for i, t in enumerate(ts)], "cid bigint, canon string")
+    forest.accept(frame(["market zzzzzz"], 0))
+    assert forest.common == set()
+    forest.accept(frame(base, 10))
+    assert forest.common == {"market"} and len(forest.runs) == 1
+    assert [tuple(r) for r in forest.accept(frame(["aaaaaa bbbbb markte"], 100)).collect()] == [(10, 100)]
+    assert forest.accept(frame([], 200)).count() == 0 and forest.version == 4
+
+
+def test_prefixes_widen_until_the_recall_target(spark):
+    assert H.prefix_depth() < H.DEPTH - 1 and H.prefix_depth(similarity=0.99) == H.DEPTH
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("bcdfghjklmnpqrtvwxz") for _ in range(7))
+    data, shared = [], []
+    for i in range(0, 400, 2):
+        w = [word() for _ in range(12)]
+        v = [x[:3] + x[4:] if k < 5 else x for k, x in enumerate(w)]
+        a, b = H._grams(w), H._grams(v)
+        shared.append(len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist())))
+        data += [(i, 0, None, None, " ".join(w), 1), (i + 1, 1, None, None, " ".join(v), 1)]
+    assert 0.72 < sum(shared) / len(shared) < 0.85
+    df = spark.createDataFrame(data, SCHEMA)
+    found = {tuple(r) for r in H.repeats(df).collect()}
+    assert found <= {(i, i + 1) for i in range(0, 400, 2)} and len(found) >= 0.97 * 200
+    titles = H.canonical(df).select(F.col("cand_no").alias("cid"), "canon")
+    forest = H.HistoryForest(spark)
+    own = H.write_run(H.forest_rows(titles, set()), forest.folder, H.TEXT_TREE + 1)
+    met = H.range_search(forest._rows([own]), [own], own, H.prefix_depth())
+    depths = {r.p: r.depth for r in met.where("p % 2 = 1 and r = p - 1").collect()}
+    assert {6, 7, 8} == set(depths.values())
+
+
+def test_a_search_reads_what_its_ranges_overlap(spark, tmp_path):
+    rows = spark.range(400_000).select(F.lit(0).alias("tree"), F.xxhash64("id").alias("key"), F.col("id").alias("cid"))
+    run = write_run(rows, str(tmp_path), 1)
+    want = [r.key for r in rows.where("cid in (5, 70000, 399999)").orderBy("key").collect()]
+    reader = Reader([run], ["cid"])
+    found = sorted(int(c) for _, got, _ in reader.ranges(0, np.array(want), np.array(want)) for c in got["cid"])
+    assert found == [5, 70000, 399999] and reader.read <= 3 * 400_000 // 6 and size_of(run, 0) == 400_000 and size_of(run, 1) == 0
+    every = np.sort(np.array([r.key for r in rows.select("key").collect()]))
+    assert sum(len(p) for p, _, _ in Reader([run], ["cid"]).ranges(0, every, every, most=1000)) == 400_000
 
 
 def test_parity_keeps_every_slip_of_a_long_title(spark):
     rnd = random.Random(9)
     data = []
     for i in range(0, 40, 2):
-        w = ["".join(rnd.choice("bcdfghjklmnpqrtvwxz") for _ in range(8)) for _ in range(14)]
+        w = ["".join(rnd.choice("bcdfghjklmnpqrtvwxz") for _ in range(8)) for _ in range(24)]
         data += [(i, 0, None, None, " ".join(w), 1), (i + 1, 1, None, None, " ".join(x[1:] if k < 6 else x for k, x in enumerate(w)), 1)]
-    assert {tuple(r) for r in H.repeats(spark.createDataFrame(data, SCHEMA)).collect()} == {(i, i + 1) for i in range(0, 40, 2)}
-
-
-def test_slip_classes_hold_every_pair(spark):
-    rnd = random.Random(4)
-    words = {"".join(rnd.choice("abc") for _ in range(rnd.choice([2, 3, 4, 5, 6, 38, 40, 42, 43, 60]))) for _ in range(150)}
-    for w in sorted(words):
-        for _ in range(2):
-            k = rnd.randrange(len(w))
-            w = rnd.choice([w[:k] + w[k + 1 :], w[:k] + "z" + w[k:], w[:k] + "y" + w[k + 1 :], w[:k] + w[k : k + 2][::-1] + w[k + 2 :]])
-        words.add(w)
-    words = sorted(words - {""})
-    common = set(rnd.sample(words, 60))
-    of = {r.w: r["class"] for r in H.slip_classes(spark.createDataFrame([(w,) for w in words], "w string"), common).collect()}
-    pairs = [(a, b) for a in words for b in words if a < b and mistyped(a, b, common)]
-    assert any(len(a) > H.LONG for a, _ in pairs) and all(a in of and of[a] == of.get(b) for a, b in pairs)
+    found = {tuple(r) for r in H.repeats(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert found <= {(i, i + 1) for i in range(0, 40, 2)} and len(found) >= 19
+
+
+def test_corrector():
+    fix = H.Corrector({"market", "form", "from"})
+    assert [fix(w) for w in ("markt", "market", "mraket", "fomr", "xyz", "12", "a" * 5000)] == ["market", "market", "market", "form", "xyz", "12", "a" * 5000]
 
 
 def test_components(spark):
