@@ -34,10 +34,10 @@ from paperloom.llm.runs import Reader, by_range, rows_of, size_of, write_run
 from paperloom.llm.textforms import MOST_SLIPS, doi_key, same_title, title_tokens, within_one
 from paperloom.session import _delete, materialise, shared_dir, tidy
 
-TREES = 24
+TREES = 10
 DEPTH = 8
 #: Pairs of this similarity are found with this probability once prefixes are widened.
-SIMILARITY, RECALL = 0.72, 0.97
+SIMILARITY, RECALL = 0.82, 0.97
 #: A word in this share of the accepted titles (and in so many of them) or more is in wide use; at most ``words per title / share`` words can be.
 COMMON_SHARE, COMMON_LEAST = 0.0005, 20
 #: Titles whose 64-bit word parities differ in more bits have more slips than a verified pair may have; a slip flips a bit for each of its two forms.

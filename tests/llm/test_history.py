@@ -133,11 +133,11 @@ def test_prefixes_widen_until_the_recall_target(spark):
     data, shared = [], []
     for i in range(0, 400, 2):
         w = [word() for _ in range(12)]
-        v = [x[:3] + x[4:] if k < 5 else x for k, x in enumerate(w)]
+        v = [x[:3] + x[4:] if k < 3 else x for k, x in enumerate(w)]
         a, b = H._grams(w), H._grams(v)
         shared.append(len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist())))
         data += [(i, 0, None, None, " ".join(w), 1), (i + 1, 1, None, None, " ".join(v), 1)]
-    assert 0.72 < sum(shared) / len(shared) < 0.85
+    assert 0.8 < sum(shared) / len(shared) < 0.86
     df = spark.createDataFrame(data, SCHEMA)
     found = {tuple(r) for r in H.repeats(df).collect()}
     assert found <= {(i, i + 1) for i in range(0, 400, 2)} and len(found) >= 0.97 * 200
