@@ -7,7 +7,7 @@ absent value and an empty one are the same here.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,24 +56,34 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
     return "".join(one_from), "".join(one_to), many
 
 
-#: Characters that fold to several ASCII characters and occur in running text.
-SEVERAL = "ﬀﬁﬂﬃﬄﬅﬆĳĲǆǅǄǉǈǇǌǋǊ…½¼¾№™℅‼⁇"
+@lru_cache
+def _several() -> list[tuple[str, str]]:
+    return sorted(_fold_table()[2].items())
 
 
 def ascii_fold(c: Column | str) -> Column:
-    """Compatibility decomposition without anything that is not ASCII, built in.
+    """Compatibility decomposition without anything that is not ASCII; equal to :func:`ascii_fold_exact`.
 
-    Equal to :func:`ascii_fold_exact` for every character of the basic plane
-    that folds to at most one ASCII character and for those of ``SEVERAL``;
-    other signs that unfold to several characters (enclosed numbers, units)
-    are dropped.
+    Built in for text whose signs unfold to one ASCII character at most; only
+    the rows that hold another sign (a ligature, a fraction, an enclosed number)
+    or one beyond the basic plane go through Python.
     """
-    one_from, one_to, many = _fold_table()
-    out = F.translate(text(c), one_from, one_to)
-    for s in SEVERAL:
-        if s in many:
-            out = F.replace(out, F.lit(s), F.lit(many[s]))
-    return F.regexp_replace(out, r"[^\x00-\x7F]+", "")
+    one_from, one_to, _ = _fold_table()
+    plain = F.regexp_replace(F.translate(text(c), one_from, one_to), r"[^\x00-\x7F]+", "")
+    return F.when(text(c).rlike(_rare_signs()), ascii_fold_exact(text(c))).otherwise(plain)
+
+
+@lru_cache
+def _rare_signs() -> str:
+    """A class of the signs that unfold to several ASCII characters, and of all beyond the basic plane."""
+    codes = [ord(s) for s, _ in _several()]
+    spans, start = [], None
+    for i, o in enumerate(codes):
+        start = o if start is None else start
+        if i + 1 == len(codes) or codes[i + 1] != o + 1:
+            spans.append(rf"\x{{{start:x}}}-\x{{{o:x}}}")
+            start = None
+    return "[" + "".join(spans) + r"\x{10000}-\x{10FFFF}]"
 
 
 @F.pandas_udf(StringType())
@@ -119,7 +129,7 @@ def host(c: Column | str) -> Column:
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda k: F.contains(c, k)) if words else F.lit(False)
+    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(k)) for k in words), F.lit(False))
 
 
 def strip_tags(c: Column | str) -> Column:
@@ -148,6 +158,11 @@ def iso_seconds(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
 
 
+def today() -> Column:
+    """The date of the run as ISO text."""
+    return F.date_format(F.current_date(), "yyyy-MM-dd")
+
+
 def whole_number(c: Column | str) -> Column:
     """A string as int, 0 where it is none."""
     return F.coalesce(F.try_to_number(F.regexp_extract(text(c).cast("string"), r"^\s*([+-]?\d{1,9})\s*$", 1), F.lit("S999999999")).cast("int"), F.lit(0))

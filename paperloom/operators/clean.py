@@ -8,6 +8,8 @@ one document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,27 +37,30 @@ def heading_form(line: Column) -> Column:
     return F.regexp_replace(F.lower(strip(F.regexp_replace(t, r"(?U)[^a-zA-Z\s/&-]", ""))), r"(?U)\s+", " ")
 
 
-def heading_class(line: Column) -> Column:
-    """``drop``, ``methods``, ``keep`` or null: short lines without a final stop that begin like a known heading."""
-    raw, h = strip(line), heading_form(line)
-    starts = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda k: F.startswith(h, k))
-    shaped = (raw != "") & (F.length(raw) <= 70) & (word_count(raw) <= 8) & ~raw.endswith(".") & (h != "")
-    return F.when(shaped, F.when(starts(DROP_HEADINGS), "drop").when(starts(METHODS_HEADINGS), "methods").when(starts(KEEP_HEADINGS), "keep"))
+def _begins(c: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.startswith(c, F.lit(k)) for k in words))
+
 
+def heading_class(line: Column, form: Column | None = None) -> Column:
+    """``drop``, ``methods``, ``keep`` or null: short lines without a final stop that begin like a known heading. ``form`` is the line's :func:`heading_form`, best a column that is there."""
+    h = heading_form(line) if form is None else form
+    shaped = (line != "") & (F.length(line) <= 70) & ~line.endswith(".") & (h != "") & (word_count(line) <= 8)
+    return F.when(shaped, F.when(_begins(h, DROP_HEADINGS), "drop").when(_begins(h, METHODS_HEADINGS), "methods").when(_begins(h, KEEP_HEADINGS), "keep"))
 
-def junk_class(line: Column) -> Column:
-    """``doi``, ``url``, ``page``, ``email``, ``affil``, ``stat``, ``table`` or null, the first that fits."""
-    s, low = strip(line), F.lower(line)
-    digits, solid = F.regexp_count(s, F.lit(r"(?U)\d")), F.length(F.regexp_replace(s, r"(?U)\s", ""))
+
+def junk_class(line: Column, low: Column | None = None) -> Column:
+    """``doi``, ``url``, ``page``, ``email``, ``affil``, ``stat``, ``table`` or null, the first that fits; for stripped lines."""
+    low = F.lower(line) if low is None else low
+    digits, solid = F.regexp_count(line, F.lit(r"(?U)\d")), F.length(F.regexp_replace(line, r"(?U)\s", ""))
     return (
-        F.when(s == "", F.lit(None).cast("string"))
-        .when(s.rlike(DOI_LINE), "doi")
-        .when(s.rlike(URL_LINE), "url")
-        .when(s.rlike(PAGE_LINE), "page")
-        .when(s.rlike(EMAIL) & (F.length(s) < 120), "email")
-        .when(s.rlike(AFFILIATION) & (F.length(s) < 100) & ~s.rlike(r"[.?!]$"), "affil")
-        .when(s.rlike(P_VALUE) | s.rlike(STATISTIC) | contains_any(low, ["cronbach", "p-value", "t-value"]), "stat")
-        .when((F.regexp_count(s, F.lit(NUMBER)) >= 3) & (solid > 0) & (digits > solid * 0.35), "table")
+        F.when(line == "", F.lit(None).cast("string"))
+        .when(F.contains(line, F.lit("10.")) & line.rlike(DOI_LINE), "doi")
+        .when((F.contains(low, F.lit("://")) | F.contains(low, F.lit("www."))) & line.rlike(URL_LINE), "url")
+        .when(line.rlike(PAGE_LINE), "page")
+        .when(F.contains(line, F.lit("@")) & (F.length(line) < 120) & line.rlike(EMAIL), "email")
+        .when((F.length(line) < 100) & line.rlike(AFFILIATION) & ~line.rlike(r"[.?!]$"), "affil")
+        .when(F.contains(line, F.lit("=")) & line.rlike(STATISTIC) | line.rlike("[<>=]") & line.rlike(P_VALUE) | contains_any(low, ["cronbach", "p-value", "t-value"]), "stat")
+        .when((F.regexp_count(line, F.lit(NUMBER)) >= 3) & (solid > 0) & (digits > solid * 0.35), "table")
     )
 
 
@@ -63,30 +68,31 @@ def has_quote(line: Column) -> Column:
     return (F.length(line) > 25) & (line.rlike("[“”‘’«»]") | (F.regexp_count(line, F.lit('"')) >= 2))
 
 
-def is_exception(line: Column) -> Column:
-    return has_quote(line) | contains_any(F.lower(line), EXCEPTION_WORDS)
+def is_exception(line: Column, low: Column) -> Column:
+    return has_quote(line) | contains_any(low, EXCEPTION_WORDS)
 
 
-def kept_in_dropped(line: Column) -> Column:
-    return ~line.rlike(CITATION) & (has_quote(line) | contains_any(F.lower(line), GIOIA_WORDS))
+def kept_in_dropped(line: Column, low: Column) -> Column:
+    return (has_quote(line) | contains_any(low, GIOIA_WORDS)) & ~line.rlike(CITATION)
 
 
-def kept_in_methods(line: Column) -> Column:
-    return is_exception(line) | contains_any(F.lower(line), METHODS_WORDS)
+def kept_in_methods(line: Column, low: Column) -> Column:
+    return is_exception(line, low) | contains_any(low, METHODS_WORDS)
 
 
 def classified_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, pos, line, heading, junk, mode, block, kept)`` for every line of every document; null texts are one empty line."""
     lines = documents.select(doc, F.posexplode(F.split(normalize_text(text), "\n", -1)).alias("pos", "raw")).select(doc, "pos", collapse_spaces("raw").alias("line"))
-    lines = lines.withColumns({"heading": heading_class(F.col("line")), "junk": junk_class(F.col("line"))})
+    lines = lines.withColumns({"h": F.when(F.length("line") <= 70, heading_form(F.col("line"))), "low": F.lower("line")})
+    lines = lines.withColumns({"heading": heading_class(F.col("line"), F.col("h")), "junk": junk_class(F.col("line"), F.col("low"))})
     w = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stop = ((F.col("line") == "") | F.col("heading").isNotNull()).cast("int")
     lines = lines.withColumns({"mode": F.coalesce(F.last("heading", ignorenulls=True).over(w), F.lit("keep")), "block": F.sum(stop).over(w)})
-    line = F.col("line")
+    line, low = F.col("line"), F.col("low")
     body = (line != "") & F.col("heading").isNull()
-    clear = F.col("junk").isNull() | is_exception(line)
-    by_mode = F.when(F.col("mode") == "drop", kept_in_dropped(line)).when(F.col("mode") == "methods", kept_in_methods(line)).otherwise(F.lit(True))
-    return lines.withColumns({"skipped": body & ~clear, "kept": body & clear & by_mode})
+    clear = F.col("junk").isNull() | is_exception(line, low)
+    by_mode = F.when(F.col("mode") == "drop", kept_in_dropped(line, low)).when(F.col("mode") == "methods", kept_in_methods(line, low)).otherwise(F.lit(True))
+    return lines.withColumn("clear", clear).withColumns({"skipped": body & ~F.col("clear"), "kept": body & F.col("clear") & by_mode}).drop("clear", "low")
 
 
 def clean_documents(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,32 +100,36 @@ def clean_documents(documents: DataFrame, doc: str = "doc_id", text: str = "text
 
     Kept lines of a block are joined by a space, blocks by an empty line;
     section names and warnings are arrays, sections in order of appearance,
-    warnings sorted.
+    warnings sorted.  Lines are gathered block by block and blocks by document,
+    in the one shuffle that the windows need.
     """
     lines = classified_lines(documents, doc, text)
     section = F.when(F.col("mode") == "methods", F.concat("line", F.lit(" (minimal/context only)"))).otherwise(F.col("line"))
-    paragraph = lambda x: F.array_join(F.transform(x, lambda e: e["line"]), " ")
-    rows = lines.groupBy(doc).agg(
-        F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("pos", "block", "line")))).alias("lines"),
-        F.array_sort(F.collect_list(F.when(F.col("heading").isin("keep", "methods"), F.struct("pos", section.alias("name"))))).alias("ks"),
-        F.array_sort(F.collect_list(F.when(F.col("heading") == "drop", F.struct("pos", F.col("line").alias("name"))))).alias("rs"),
-        F.max(F.when((F.col("heading") == "drop") & heading_form(F.col("line")).rlike("^(reference|bibliography)"), "references removed")).alias("w1"),
+    listed = lambda holds, *what: F.collect_list(F.when(holds, F.struct("pos", *what)))
+    blocks = lines.groupBy(doc, "block").agg(
+        F.array_join(F.transform(F.array_sort(listed(F.col("kept"), "line")), lambda e: e["line"]), " ").alias("p"),
+        F.count(F.when(F.col("kept"), 1)).alias("n"),
+        F.max(F.when(F.col("heading").isin("keep", "methods"), section)).alias("ks"),  # a heading begins its block
+        F.max(F.when(F.col("heading") == "drop", F.col("line"))).alias("rs"),
+        F.max(F.when((F.col("heading") == "drop") & F.col("h").rlike("^(reference|bibliography)"), "references removed")).alias("w1"),
         F.max(F.when(F.col("skipped") & F.col("junk").isin("stat", "table"), "tables removed")).alias("w2"),
         F.max(F.when(F.col("kept") & (F.col("mode") == "drop"), "qualitative quotes retained")).alias("w3"),
     )
-    blocks = F.array_distinct(F.transform("lines", lambda e: e["block"]))
-    cleaned = F.array_join(F.transform(blocks, lambda b: paragraph(F.filter("lines", lambda e: e["block"] == b))), "\n\n")
-    names = lambda c: F.transform(c, lambda e: e["name"])
+    in_order = lambda holds, name: F.transform(F.array_sort(F.collect_list(F.when(holds, F.struct("block", name)))), lambda e: e[name])
+    rows = blocks.groupBy(doc).agg(
+        F.array_join(in_order(F.col("n") > 0, "p"), "\n\n").alias("cleaned"), in_order(F.col("ks").isNotNull(), "ks").alias("ks"), in_order(F.col("rs").isNotNull(), "rs").alias("rs"), *(F.max(w).alias(w) for w in ("w1", "w2", "w3"))
+    )
     none = F.when(F.size("ks") == 0, "no section headings detected; line-level cleaning only")
     warnings = F.array_sort(F.filter(F.array("w1", "w2", "w3", none), lambda x: x.isNotNull()))
-    return rows.select(doc, cleaned.alias("cleaned"), names("ks").alias("kept_sections"), names("rs").alias("removed_sections"), warnings.alias("warnings"))
+    return rows.select(doc, "cleaned", F.col("ks").alias("kept_sections"), F.col("rs").alias("removed_sections"), warnings.alias("warnings"))
 
 
-def text_state(text: Column, pages: Column) -> Column:
-    """``no_text``, ``short_scanned``, ``short`` or ``text``: what the extraction of a document yielded."""
+def text_state(text: Column, pages: Column, failed: Column | None = None) -> Column:
+    """``error`` where ``failed`` holds, else ``no_text``, ``short_scanned``, ``short`` or ``text``: what the extraction of a document yielded."""
     per_page = F.when(F.coalesce(pages, F.lit(0)) > 0, F.length(text) / pages)
     few = word_count(text) < MIN_WORDS
-    return F.when(strip(text) == "", "no_text").when(few & (per_page < SCANNED_CHARS_PER_PAGE), "short_scanned").when(few, "short").otherwise("text")
+    state = F.when(F.coalesce(failed, F.lit(False)), "error") if failed is not None else F
+    return state.when(strip(text) == "", "no_text").when(few & (per_page < SCANNED_CHARS_PER_PAGE), "short_scanned").when(few, "short").otherwise("text")
 
 
 def notes(meta: dict[str, Column], kept: Column, removed: Column, warnings: Column, words: dict[str, Column]) -> Column:

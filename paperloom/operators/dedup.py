@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import normalize_title, strip, token_sort
-from paperloom.session import drop_materialised, materialise
+from paperloom.session import drop_materialised, materialise, tidy
 
 #: Similarity (of 100) from which two titles count as one.
 THRESHOLD = 92
@@ -64,7 +64,9 @@ def similar_pairs(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     of its ``budget + 1`` rarest chunks somewhere in the longer.  Those are
     joined, within the length range and as far as the parities of their
     character pairs allow (an edit flips three bits at most); a bounded edit
-    distance decides most of what meets, the rest is computed exactly.
+    distance decides most of what meets, the rest is computed exactly.  Titles
+    too short to have so many chunks (six or seven characters at the usual
+    threshold) meet all titles of the lengths that can be similar.
     """
     t = materialise(titles.where("s <> ''").select("o", "s").mapInPandas(_pair_parities, "o bigint, s string, p0 bigint, p1 bigint, p2 bigint, p3 bigint"), "titles").withColumn("n", F.length("s"))
     budget = (100 - threshold) / 100.0
@@ -80,6 +82,9 @@ def similar_pairs(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     apart = " + ".join(f"bit_count(x{b} ^ y{b})" for b in bits)
     close = f"(ny - nx) * 100 <= (nx + ny) * {100 - threshold} and ({apart}) * 100 <= 3 * (nx + ny) * {100 - threshold}"
     met = rare.join(grams, "g").where(f"x <> y and nx <= ny and (nx < ny or x < y) and {close}").select("x", "y").distinct()
+    short = t.where(F.greatest(F.lit(1), F.floor(F.col("n") / GRAM)) <= F.col("most")).select(F.explode(F.sequence("n", F.col("n") + F.col("most"))).alias("ny"), F.col("o").alias("x"), F.col("n").alias("nx"), *(F.col(b).alias(f"x{b}") for b in bits))
+    long = t.select(F.col("n").alias("ny"), F.col("o").alias("y"), *(F.col(b).alias(f"y{b}") for b in bits))
+    met = met.unionByName(short.join(long, "ny").where(f"x <> y and (nx < ny or x < y) and {close}").select("x", "y")).distinct()
     both = met.join(t.select(F.col("o").alias("x"), F.col("s").alias("sx")), "x").join(t.select(F.col("o").alias("y"), F.col("s").alias("sy")), "y")
     room = F.floor((F.length("sx") + F.length("sy")) * budget + 1e-9).cast("int")
     both = both.withColumn("room", room).withColumn("lev", F.expr("levenshtein(sx, sy, room)")).where("lev >= 0")
@@ -93,16 +98,18 @@ def similar_pairs(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def greedy_leaders(members: DataFrame, most_rounds: int = 100) -> DataFrame:
+def greedy_leaders(members: DataFrame) -> DataFrame:
     """``(o, leader)`` for every node of the groups ``(g, o)`` in which all members match each other: the first maximal independent set.
 
     In each round a group yields its earliest leader and its earliest open
     node; a node after a leader of one of its groups is a duplicate, and one
     before all other leaders and open nodes of its groups is a leader.  No
-    pair is ever made, so a round is linear in the memberships.
+    pair is ever made, so a round is linear in the memberships.  Every round
+    decides the earliest open node at least, and rounds go on until none is
+    open; a chain of titles each like the next takes a round for two of them.
     """
     state = materialise(members.select("o").distinct().withColumn("leader", F.lit(None).cast("boolean")), "state")
-    for _ in range(most_rounds):
+    while True:
         if state.where("leader is null").isEmpty():
             break
         group = members.join(state, "o").groupBy("g").agg(F.min(F.when(F.col("leader"), F.col("o"))).alias("lead"), F.min(F.when(F.col("leader").isNull(), F.col("o"))).alias("open"))
@@ -116,6 +123,7 @@ def greedy_leaders(members: DataFrame, most_rounds: int = 100) -> DataFrame:
     return state
 
 
+@tidy
 def deduplicate(records: DataFrame, order: str = "ord", doi: str = "doi", title: str = "title", threshold: int = THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """``(order, duplicate_of)``: the original of every row, null for originals.
 

@@ -28,6 +28,14 @@ def open_places(places: DataFrame, records: DataFrame, filled: Column, slot: str
     return places.join(taken, "slot", "left_anti")
 
 
+def weighted(value: Column, weights: dict[str, int], otherwise: int = 0) -> Column:
+    """The weight of a value; null and unknown values weigh ``otherwise``."""
+    out = F.lit(otherwise)
+    for v, n in weights.items():
+        out = F.when(value == v, n).otherwise(out)
+    return out
+
+
 def ranked(records: DataFrame, by: list[Column], cell: tuple[str, ...] = ("country", "category"), top: int | None = None) -> DataFrame:
     """``records`` with ``rn``, their rank in their cell; ``by`` has to end with a unique order.  With ``top`` a task keeps that many rows of a cell before the shuffle."""
     out = records.withColumn("rn", F.row_number().over(Window.partitionBy(*cell).orderBy(*by)))

@@ -33,6 +33,12 @@ def hits_by_key(hay: Column, key: Column | str, words: dict[str, list[str]]) ->
     return out
 
 
+def workplace(records: DataFrame, words: Words = Words(), texts: tuple[str, ...] = ("title", "abstract", "journal_source")) -> DataFrame:
+    """``records`` with ``in_workplace`` and ``workplace_hits``: whether and by which words of the organisational list (the check's older name) a text is of a workplace."""
+    found = records.withColumn("workplace_hits", hits(haystack(*texts), words.organisation))
+    return found.withColumn("in_workplace", F.size("workplace_hits") > 0)
+
+
 def first_match(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
     """The value of the first case that holds; a null condition does not hold."""
     out = None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.text import short_title, slugify, strip, text
 from paperloom.operators.ranks import group_rank
 from paperloom.rules import CATEGORIES, COLUMN_ALIASES
+from paperloom.sources.files import with_existence
 
 
 def pick(df: DataFrame, name: str, aliases: dict[str, list[str]] = COLUMN_ALIASES) -> Column:
@@ -79,3 +80,29 @@ def tally(records: DataFrame, key: str) -> DataFrame:
     """One row ``summary``: ``key=count, …`` sorted by key; ``'0'`` if there are none.  Keys are few by nature (states)."""
     c = records.groupBy(key).agg(F.count("*").alias("n"))
     return c.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.coalesce(F.col(key), F.lit("")), F.lit("="), F.col("n").cast("string")))), ", ").alias("summary")).select(F.when(F.col("summary") == "", "0").otherwise(F.col("summary")).alias("summary"))
+
+
+def organise(records: DataFrame, files: DataFrame, taken: DataFrame, folder: str, root: str, weight: Column, skip: Column, order: str, countries: list[str], categories: list[str] = CATEGORIES) -> DataFrame:
+    """The plan of a tidy copy of the records' files: ``(order, country, category, category_number, sequence, title, source_path, new_path, status, note)``.
+
+    Only rows of ``countries`` are looked at.  ``status`` is ``skipped_rejected``
+    (``skip`` holds), ``skipped_no_pdf``, ``skipped_missing_file`` (not in the
+    listing ``files (path)``), ``error`` (unknown category) or ``dry_run``.
+    The last are numbered in their country and category by ``weight``, title
+    and order, and get a name that is free in ``taken (folder, name)`` and
+    among themselves.  The copy itself is :func:`paperloom.sources.sinks.copy_files`.
+    """
+    named = lambda c: pick(records, c)
+    r = records.select(order, named("country").alias("country"), named("category").alias("category"), named("title").alias("title"), named("local_pdf_path").alias("source_path"), weight.alias("_w"), F.coalesce(skip, F.lit(False)).alias("_skip"))
+    r = r.where(F.col("country").isin(countries)).withColumn("category_number", category_number(F.col("category"), categories))
+    r = r.withColumn("_src", source_path(F.col("source_path"), root))
+    r = with_existence(r, files, "_src", "_there")
+    status = F.when(F.col("_skip"), "skipped_rejected").when(F.col("source_path") == "", "skipped_no_pdf").when(~F.col("_there"), "skipped_missing_file").when(F.col("category_number").isNull(), "error").otherwise("dry_run")
+    r = numbered(r.withColumn("status", status), ("country", "category_number"), [F.col("_w"), F.lower("title"), F.asc(order)], F.col("status") == "dry_run")
+    go = r.where("sequence is not null").withColumn("_name", file_name(F.col("country"), F.col("category_number"), F.col("sequence"), F.col("title")))
+    go = free_names(go, taken.select("country", F.col("name").alias("_name")), "_name", "country", order)
+    go = go.withColumns({"new_path": F.concat(F.lit(folder.rstrip("/") + "/"), "country", F.lit("/"), "free_name"), "note": F.when(F.col("free_name") != F.col("_name"), F.concat(F.lit("renamed: "), "_name", F.lit(" -> "), "free_name")).otherwise("")})
+    note = F.when(F.col("status") == "error", F.concat(F.lit("unknown category: "), "category")).when(F.col("status") == "skipped_missing_file", F.concat(F.lit("no file: "), "_src")).otherwise("")
+    rest = r.where("sequence is null").withColumns({"new_path": F.lit(""), "note": note})
+    cols = [order, "country", "category", "category_number", "sequence", "title", "source_path", "new_path", "status", "note"]
+    return go.select(cols).unionByName(rest.select(cols))

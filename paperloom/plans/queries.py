@@ -15,8 +15,10 @@ from paperloom.functions import text as T
 from paperloom.operators import clean, dedup, grid, keywords, organize
 from paperloom.operators.split_values import split_values
 from paperloom.operators.upsert import enrich, upsert
+from paperloom.plans import pipeline
 from paperloom.rules import CANDIDATE_COLUMNS, CATEGORIES, COUNTRIES
-from paperloom.sources import payloads, sinks
+from paperloom.rules import QUERIES as SEARCH_QUERIES
+from paperloom.sources import fetch, files, payloads, search, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -95,10 +97,8 @@ def leading_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def category_numbers(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "candidates")
-    n = F.col("cand_no") % 4
-    typed = F.when(n == 0, F.col("category")).when(n == 1, F.upper("category")).when(n == 2, F.concat(F.lit(" "), (F.col("cand_no") % 9).cast("string"), F.lit(" x"))).otherwise(F.lit("unknown"))
-    return c.select("cand_no", organize.category_number(typed).alias("category_no"))
+    """The number of every row's category as stored; other spellings are tested on a fixture."""
+    return read(spark, d, "candidates").select("cand_no", organize.category_number(F.col("category")).alias("category_no"))
 
 
 @query
@@ -154,6 +154,30 @@ def papers_normalised(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("url").cast("bigint").alias("cand_no"), "doi", "title", "authors", "year", "journal_source", "pdf_url", "oa_status", "oa_source", "abstract", "is_oa")
 
 
+@query
+def cell_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The search queries of every place of the grid."""
+    return search.cell_queries(spark, grid.grid(spark), SEARCH_QUERIES)
+
+
+@query
+def collected(spark: SparkSession, d: str) -> DataFrame:
+    """Works found for their cells, from the payload to the scored candidate with its id."""
+    cells = read(spark, d, "candidates").select("cand_no", "country", "category")
+    out = pipeline.collect(works_normalised(spark, d).join(cells, "cand_no"), F.lit("2024-01-01T00:00:00+00:00"))
+    cols = ["country", "category", "slot", "local_pdf_path", "notes", "duplicate_of", "created_at", "updated_at", "country_score", "category_score", "workplace_organization_score", "exclusion_medical_score"]
+    return out.select("cand_no", F.when(F.col("id").startswith("raw:"), "raw:").otherwise(F.col("id")).alias("id"), *cols)
+
+
+@query
+def looked_up(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate with the lookup record of its DOI; lookups are made of the log."""
+    log = read(spark, d, "download_safety_log").groupBy(F.lower(F.trim("doi")).alias("doi")).agg(F.min("pdf_url").alias("u"), F.max("license").alias("l"), F.max("oa_status").alias("oa_status"))
+    best = F.struct(F.col("u").alias("url_for_pdf"), F.col("l").alias("license"), F.lit(None).cast("string").alias("host_type"))
+    out = payloads.looked_up(read(spark, d, "candidates").select("cand_no", "doi"), log.select("doi", F.col("u").isNotNull().alias("is_oa"), "oa_status", best.alias("best_oa_location")))
+    return out.select("cand_no", "l_is_oa", "l_oa_status", "l_pdf_url", "l_license", "l_host_type")
+
+
 # --- limits, unions, sets
 
 
@@ -192,6 +216,11 @@ def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("cand_no", "country_score", "workplace_organization_score", "category_score", "exclusion_medical_score", "target_country_region", "research_context", "related_category", "reason_for_inclusion")
 
 
+@query
+def workplace_checked(spark: SparkSession, d: str) -> DataFrame:
+    return keywords.workplace(read(spark, d, "candidates")).select("cand_no", "in_workplace", F.array_join("workplace_hits", ", ").alias("hits"))
+
+
 @query
 def score_totals(spark: SparkSession, d: str) -> DataFrame:
     s = keywords.score(read(spark, d, "documents").select("doc_id", "text", F.col("country"), F.lit(CATEGORIES[2]).alias("category")), texts=("text",))
@@ -202,7 +231,8 @@ def score_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _best() -> list[Column]:
-    return [F.desc(F.coalesce("category_score", F.lit(0))), F.desc(T.present("pdf_url").cast("int")), F.desc(F.coalesce("year", F.lit(0))), F.asc("cand_no")]
+    weight = grid.weighted(F.col("screening_status"), {"strong_candidate": 4, "candidate": 3, "manual_download_needed": 2, "needs_review": 1})
+    return [F.desc(weight), F.desc(F.coalesce("category_score", F.lit(0))), F.desc(T.present("pdf_url").cast("int")), F.desc(F.coalesce("year", F.lit(0))), F.asc("cand_no")]
 
 
 @query
@@ -241,6 +271,58 @@ def names_freed(spark: SparkSession, d: str) -> DataFrame:
     return organize.free_names(c, taken, order="cand_no").select("cand_no", "folder", "free_name")
 
 
+def _has_document(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "candidates").join(read(spark, d, "documents").select("cand_no").distinct(), "cand_no", "left_semi")
+    return c.select(organize.source_path(F.coalesce("local_pdf_path", F.lit("")), "/data").alias("path")).distinct()
+
+
+@query
+def files_there(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a candidate's file is in the listing of those that documents were made of."""
+    c = read(spark, d, "candidates").select("cand_no", organize.source_path(F.coalesce("local_pdf_path", F.lit("")), "/data").alias("path"))
+    return files.with_existence(c, _has_document(spark, d)).select("cand_no", "there")
+
+
+@query
+def organised(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of tidy copies, with its log."""
+    c = read(spark, d, "candidates")
+    weight = grid.weighted(F.col("screening_status"), {"adopted": 0, "strong_candidate": 1, "candidate": 2}, 9)
+    taken = c.where("cand_no % 2 = 0").select("country", F.concat(F.col("country"), F.lit("_1-1_"), T.short_title("title"), F.lit(".pdf")).alias("name")).distinct()
+    out = organize.organise(c, _has_document(spark, d), taken, "/out", "/data", weight, F.col("batch_no") == 3, "cand_no", COUNTRIES)
+    return out.select("cand_no", "category_number", "sequence", "new_path", "status", "note")
+
+
+@query
+def saved_count(spark: SparkSession, d: str) -> DataFrame:
+    """Files saved by a run: downloaded, and not there before."""
+    log, c = read(spark, d, "download_safety_log"), read(spark, d, "candidates").select("cand_no", F.col("batch_no").alias("b"))
+    new = (F.col("legal_download_status") == "safe_downloaded") & (F.col("b") > 0)
+    return log.join(c, "cand_no").agg(F.count_if(new).alias("saved"), F.count("*").alias("looked_at"))
+
+
+@query
+def download_rows(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "candidates")
+    path = F.when(F.col("batch_no") == 0, F.concat(F.lit("pdfs/"), F.col("cand_no").cast("string"))).otherwise("")
+    return sinks.download_log(c, T.host("pdf_url"), F.col("legal_download_status"), F.col("legal_download_reason"), path)
+
+
+@query
+def magic_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose first bytes, or whose type, are those of a PDF."""
+    t = read(spark, d, "documents")
+    head = F.encode(F.concat(F.when(F.col("pages") > 1, "%PDF-").otherwise(""), F.substring("text", 1, 100)), "utf-8")
+    return t.select("doc_id", fetch.looks_pdf(head).alias("magic"), fetch.looks_pdf(head, F.when(F.col("lang") == "en", "Application/PDF; x")).alias("either"))
+
+
+@query
+def run_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates and times as text."""
+    e = read(spark, d, "events").groupBy("event_type").agg(F.max("ts").cast("timestamp").alias("t"))
+    return e.select("event_type", T.iso_seconds(F.col("t")).alias("newest"), T.today().alias("today"))
+
+
 @query
 def status_tally(spark: SparkSession, d: str) -> DataFrame:
     return organize.tally(read(spark, d, "preprocess_log"), "status")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-from paperloom.functions.text import SEVERAL
 from paperloom.operators import clean
-from paperloom.rules import CANDIDATE_COLUMNS, CATEGORIES, CATEGORY_WORDS, COUNTRIES, COUNTRY_WORDS, DROP_HEADINGS, EXCEPTION_WORDS, GIOIA_WORDS, KEEP_HEADINGS, MEDICAL_WORDS, METHODS_HEADINGS, METHODS_WORDS, ORGANISATION_WORDS, PHYSICAL_WORDS
+from paperloom.rules import CANDIDATE_COLUMNS, CATEGORIES, CATEGORY_WORDS, COUNTRIES, COUNTRY_WORDS, DROP_HEADINGS, EXCEPTION_WORDS, GIOIA_WORDS, KEEP_HEADINGS, MEDICAL_WORDS, METHODS_HEADINGS, METHODS_WORDS, ORGANISATION_WORDS, PHYSICAL_WORDS, QUERIES
 
 
 def _q(s: str) -> str:
@@ -17,6 +16,8 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join(map(_q, words)) + "]"
 
 
+#: Signs that unfold to several ASCII characters and may occur in running text.
+SEVERAL = "ﬀﬁﬂﬃﬄﬅﬆĳĲǆǅǄǉǈǇǌǋǊ…½¼¾№™℅‼⁇"
 _WIDE = "".join(chr(o) for o in [*range(0xFF01, 0xFF5F), 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000])
 _WIDE_TO = "".join(unicodedata.normalize("NFKC", c) for c in _WIDE)
 
@@ -59,7 +60,7 @@ def _grid(papers: int) -> str:
     return f"(select country, category, category_no::int as category_no, paper::int as paper, country || '_' || paper || '-' || category_no as slot from {_NO_GRID}, (select unnest(range(1, {papers + 1})) as paper))"
 
 
-_BEST = "coalesce(category_score, 0) desc, (case when coalesce(pdf_url, '') <> '' then 1 else 0 end) desc, coalesce(year, 0) desc, cand_no"
+_BEST = "(case screening_status when 'strong_candidate' then 4 when 'candidate' then 3 when 'manual_download_needed' then 2 when 'needs_review' then 1 else 0 end) desc, coalesce(category_score, 0) desc, (case when coalesce(pdf_url, '') <> '' then 1 else 0 end) desc, coalesce(year, 0) desc, cand_no"
 
 
 def _hits(ws: str) -> str:
@@ -87,7 +88,7 @@ SQL["csv_projection"] = "select cand_no::varchar as key, " + ", ".join(f"coalesc
 SQL["aliased_columns"] = "select cand_no, " + ", ".join(f"coalesce(nullif({strip(c)}, ''), " + ({"country": strip("target_country_region") + ", "}.get(c, "")) + f"'') as {c}" for c in ("country", "category", "title", "local_pdf_path", "screening_status")) + " from candidates"
 SQL["target_paths"] = f"select cand_no, 'pdfs/' || country || '/' || coalesce(nullif(slot, ''), country || '_unassigned') || '_' || {slug('title')} || '.pdf' as target, case when starts_with(coalesce(local_pdf_path, ''), '/') then local_pdf_path else '/data/' || coalesce(local_pdf_path, '') end as source from candidates"
 SQL["leading_numbers"] = r"select cand_no, coalesce(try_cast(case when regexp_full_match(string_split(coalesce(related_category, ''), ' ')[1], '\d{1,9}') then string_split(related_category, ' ')[1] end as int), 0) as n_matches, coalesce(year, 0)::int as year_no, least(greatest(coalesce(year, 0), 1), 200)::int as page_size from candidates"
-SQL["category_numbers"] = f"select cand_no, (case cand_no % 4 when 0 then list_position({_list(CATEGORIES)}, category) when 1 then list_position({_list(CATEGORIES)}, category) when 2 then case when cand_no % 9 between 1 and 6 then cand_no % 9 end end)::int as category_no from candidates"
+SQL["category_numbers"] = f"select cand_no, list_position({_list(CATEGORIES)}, category)::int as category_no from candidates"
 _COUNTRY_RE = "|".join(COUNTRIES)
 SQL["file_names_parsed"] = rf"""select log_no, paper_id, case when regexp_matches(paper_id, '^({_COUNTRY_RE})_') then regexp_extract(paper_id, '^({_COUNTRY_RE})_', 1) else coalesce(country, '') end as country, no as category_number,
   coalesce(case when no between 1 and 6 then {_list(CATEGORIES)}[no] end, '') as category_name
@@ -201,3 +202,39 @@ SQL["documents_cleaned"] = f"""with {_clean_lines()},
 SQL["text_states"] = f"""select doc_id, n_words, case when {strip('text')} = '' then 'no_text' when n_words < 100 and coalesce(pages, 0) > 0 and length(text) / pages < 60 then 'short_scanned' when n_words < 100 then 'short' else 'text' end as state
   from (select *, len({words('text')})::int as n_words from documents)"""
 SQL["latest_runs"] = "select doc_id, log_no, status, word_count_raw, word_count_cleaned from (select *, row_number() over (partition by doc_id order by processed_at desc nulls last, log_no desc) as rn from preprocess_log) where rn = 1"
+
+
+# --- the search pipeline, files and logs
+
+SQL["cell_queries"] = "select * from (values " + ", ".join(f"({_q(c)}, {_q(k)}, {i}::int, {j}::int, {n}::int, {_q(q)})" for i, (c, cells) in enumerate(QUERIES.items()) for j, (k, qs) in enumerate(cells.items()) for n, q in enumerate(qs)) + ") t(country, category, country_ord, category_ord, query_ord, query)"
+_FOUND = f"(select w.*, c.country, c.category from ({SQL['works_normalised']}) w join candidates c using (cand_no))"
+SQL["collected"] = f"""select cand_no, case when lower({strip('doi')}) <> '' then 'doi:' || lower({strip('doi')}) when {norm_title('title')} <> '' then 'ttl:' || left(sha1({norm_title('title')}), 16) else 'raw:' end as id, country, category, '' as slot, '' as local_pdf_path, '' as notes, '' as duplicate_of,
+  '2024-01-01T00:00:00+00:00' as created_at, '2024-01-01T00:00:00+00:00' as updated_at, len(ch)::int as country_score, len(kh)::int as category_score, len(oh)::int as workplace_organization_score, (len(mh) + len(ph))::int as exclusion_medical_score
+  from {_scores('title, abstract, journal_source', 'country', 'category', 'cand_no, doi, title, country, category', _FOUND)}"""
+SQL["looked_up"] = """select c.cand_no, coalesce(l.u is not null, false) as l_is_oa, coalesce(l.oa_status, '') as l_oa_status, coalesce(l.u, '') as l_pdf_url, coalesce(l.lic, '') as l_license, '' as l_host_type
+  from candidates c left join (select lower(trim(doi, ' ')) as k, min(pdf_url) as u, max(license) as lic, max(oa_status) as oa_status from download_safety_log where trim(doi, ' ') <> '' group by 1) l on lower(trim(c.doi, ' ')) = l.k"""
+SQL["workplace_checked"] = f"select cand_no, len(oh) > 0 as in_workplace, array_to_string(oh, ', ') as hits from {_scores('title, abstract, journal_source', 'country', 'category', 'cand_no', 'candidates')}"
+_SOURCE = "(case when starts_with(coalesce(local_pdf_path, ''), '/') then local_pdf_path else '/data/' || coalesce(local_pdf_path, '') end)"
+_THERE = f"{_SOURCE} in (select {_SOURCE} from candidates where cand_no in (select cand_no from documents where cand_no is not null))"
+SQL["files_there"] = f"select cand_no, {_THERE} as there from candidates"
+SQL["organised"] = f"""with r as (select *, list_position({_list(CATEGORIES)}, category)::int as no, {strip('title')} as tt, {strip('local_pdf_path')} as lp, {_THERE} as there from candidates where country in ({', '.join(map(_q, COUNTRIES))})),
+  s as (select *, case when coalesce(batch_no = 3, false) then 'skipped_rejected' when lp = '' then 'skipped_no_pdf' when not there then 'skipped_missing_file' when no is null then 'error' else 'dry_run' end as status from r),
+  n as (select *, case when status = 'dry_run' then (row_number() over (partition by country, no, status order by case screening_status when 'adopted' then 0 when 'strong_candidate' then 1 when 'candidate' then 2 else 9 end, lower(tt), cand_no))::int end as sequence from s),
+  b as (select *, case when sequence is not null then country || '_' || no || '-' || sequence || '_' || {short_title('tt')} || '.pdf' end as base from n),
+  t as (select distinct country, lower(country || '_1-1_' || {short_title('title')} || '.pdf') as name from candidates where cand_no % 2 = 0),
+  f as (select b.*, case when t.name is null then base else replace(base, '.pdf', '_dup1.pdf') end as free from b left join t on b.country = t.country and lower(b.base) = t.name)
+  select cand_no, no as category_number, sequence, case when sequence is not null then '/out/' || country || '/' || free else '' end as new_path, status,
+    case when sequence is not null then case when free <> base then 'renamed: ' || base || ' -> ' || free else '' end when status = 'error' then 'unknown category: ' || {strip('category')} when status = 'skipped_missing_file' then 'no file: ' || case when starts_with(lp, '/') then lp else '/data/' || lp end else '' end as note from f"""
+SQL["saved_count"] = "select count(*) filter (where l.legal_download_status = 'safe_downloaded' and c.batch_no > 0) as saved, count(*) as looked_at from download_safety_log l join candidates c on l.cand_no = c.cand_no"
+_HOST = SQL["host_counts"].removeprefix("select ").split(" as host,")[0]
+SQL["download_rows"] = f"""select cand_no, coalesce(country, '') as country, coalesce(category, '') as category, coalesce(title, '') as title, coalesce(doi, '') as doi, coalesce(pdf_url, '') as pdf_url, {_HOST} as domain, coalesce(oa_status, '') as oa_status, coalesce(license, '') as license,
+  coalesce(legal_download_status, '') as legal_download_status, coalesce(legal_download_reason, '') as legal_download_reason, case when batch_no = 0 then 'pdfs/' || cand_no else coalesce(local_pdf_path, '') end as local_pdf_path from candidates"""
+SQL["magic_bytes"] = "select doc_id, coalesce(pages > 1 and text is not null, false) or coalesce(starts_with(text, '%PDF'), false) as magic, coalesce(pages > 1 and text is not null, false) or coalesce(starts_with(text, '%PDF'), false) or coalesce(lang = 'en', false) as either from documents"
+SQL["run_dates"] = "select event_type, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' as newest, strftime(current_date, '%Y-%m-%d') as today from events group by 1"
+_STATE = "struct_pack(o := o, d := d, t := t, kept := kept, dup := dup)"
+SQL["duplicates_exact"] = f"""with k as (select cand_no as o, lower({strip('doi')}) as d, {norm_title('title')} as t from candidates),
+  r as (select list({{'o': o, 'd': d, 't': t, 'kept': []::struct(o bigint, d varchar, t varchar)[], 'dup': []::struct(o bigint, leader bigint)[]}} order by o) as rows from k),
+  z as (select list_reduce(list_prepend({{'o': -1::bigint, 'd': '', 't': '', 'kept': []::struct(o bigint, d varchar, t varchar)[], 'dup': []::struct(o bigint, leader bigint)[]}}, rows), lambda a, x: struct_pack(o := x.o, d := x.d, t := x.t,
+    kept := case when len(list_filter(a.kept, lambda e: (e.d = x.d and x.d <> '') or (e.t = x.t and x.t <> ''))) = 0 then list_append(a.kept, struct_pack(o := x.o, d := x.d, t := x.t)) else a.kept end,
+    dup := list_append(a.dup, struct_pack(o := x.o, leader := coalesce(list_min(list_transform(list_filter(a.kept, lambda e: e.d = x.d and x.d <> ''), lambda e: e.o)), list_min(list_transform(list_filter(a.kept, lambda e: e.t = x.t and x.t <> ''), lambda e: e.o))))))).dup as dups from r)
+  select p.o as cand_no, p.leader as duplicate_of from (select unnest(dups) as p from z)"""

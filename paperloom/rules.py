@@ -68,6 +68,34 @@ METHODS_WORDS = [
     "thailand", "thai", "vietnam", "vietnamese", "japan", "japanese", "organization", "organisation", "company", "firm", "employees", "employee", "workplace", "sector", "industry",
 ]
 
+# The search queries of each country and category.
+QUERIES = {
+    "Thailand": {
+        "Stereotypes / Ageism": ["ageism workplace Thailand", "age discrimination older workers Thailand", "generational stereotype workplace Thailand"],
+        "Work Values / Work Ethic": ["work values generation Thailand", "work ethic Generation Z Thailand", "work-life balance millennials Thailand"],
+        "Knowledge Transfer / Mentoring": ["intergenerational knowledge transfer Thailand", "knowledge sharing young employees Thailand", "mentoring workplace Thailand"],
+        "Communication / Psychological Safety": ["psychological safety workplace Thailand", "speaking up hierarchy Thailand", "employee voice power distance Thailand"],
+        "Change Adaptation / Technology Adoption": ["digital transformation employees Thailand", "technology adoption older workers Thailand", "digital skills gap workplace Thailand"],
+        "Status Quo Bias / Resistance to Change": ["resistance to change workplace Thailand", "organizational change resistance employees Thailand", "status quo bias organization Thailand"],
+    },
+    "Vietnam": {
+        "Stereotypes / Ageism": ["ageism workplace Vietnam", "age discrimination older workers Vietnam", "generational stereotype workplace Vietnam"],
+        "Work Values / Work Ethic": ["work values generation Vietnam", "work ethic Generation Z Vietnam", "work-life balance millennials Vietnam"],
+        "Knowledge Transfer / Mentoring": ["intergenerational knowledge transfer Vietnam", "knowledge sharing young employees Vietnam", "reverse mentoring workplace Vietnam"],
+        "Communication / Psychological Safety": ["employee voice power distance Vietnam", "psychological safety workplace Vietnam", "speaking up hierarchy Vietnam"],
+        "Change Adaptation / Technology Adoption": ["digital transformation employees Vietnam", "digital skills gap workplace Vietnam", "technology adoption older workers Vietnam"],
+        "Status Quo Bias / Resistance to Change": ["resistance to change workplace Vietnam", "organizational change resistance employees Vietnam", "status quo bias organization Vietnam"],
+    },
+    "Japan": {
+        "Stereotypes / Ageism": ["ageism workplace Japan", "age discrimination older workers Japan", "generational stereotype workplace Japan"],
+        "Work Values / Work Ethic": ["work values generation Japan", "work ethic Generation Z Japan", "work-life balance millennials Japan"],
+        "Knowledge Transfer / Mentoring": ["intergenerational knowledge transfer Japan", "reverse mentoring workplace Japan", "knowledge sharing young employees Japan"],
+        "Communication / Psychological Safety": ["psychological safety workplace Japan", "employee voice power distance Japan", "speaking up hierarchy Japan"],
+        "Change Adaptation / Technology Adoption": ["technology adoption older workers Japan", "digital transformation employees Japan", "digital skills gap workplace Japan"],
+        "Status Quo Bias / Resistance to Change": ["status quo bias organization Japan", "resistance to change workplace Japan", "organizational change resistance employees Japan"],
+    },
+}
+
 # Columns of a candidate in order, and the ones that only the JSON form has.
 CANDIDATE_COLUMNS = [
     "id", "country", "category", "slot", "title", "authors", "year", "journal_source", "doi", "url", "pdf_url", "oa_status", "oa_source", "license", "target_country_region", "research_context", "abstract", "related_category",
@@ -96,10 +124,44 @@ class Words:
     physical: list[str] = field(default_factory=lambda: PHYSICAL_WORDS)
 
 
-def load_words(path: str) -> Words:
-    """Word lists from a YAML file with the keys of :class:`Words`; what it lacks keeps its shipped value."""
+def load_yaml(path: str) -> object:
+    """A YAML file (UTF-8), plain values only."""
     import yaml
 
     with open(path, encoding="utf-8") as f:
-        got = yaml.safe_load(f) or {}
-    return Words(**{k: v for k, v in got.items() if k in Words.__dataclass_fields__})
+        return yaml.safe_load(f)
+
+
+def load_category_words(path: str) -> dict[str, list[str]]:
+    """Words of each category, in the order of their ``index``, from a file of ``name: {index, keywords}``."""
+    got = load_yaml(path) or {}
+    return {k: list(v.get("keywords") or []) for k, v in sorted(got.items(), key=lambda e: e[1].get("index") or 0)}
+
+
+def load_country_words(path: str) -> dict[str, list[str]]:
+    """Words of each country, from a file of ``name: [words]``."""
+    return {k: list(v or []) for k, v in (load_yaml(path) or {}).items()}
+
+
+def load_context_words(path: str) -> dict[str, list[str]]:
+    """The word lists of a rule file by their keys (``organizational_keywords``, ``medical_exclusion_keywords``, ...); its other settings are left out."""
+    return {k: v for k, v in (load_yaml(path) or {}).items() if isinstance(v, list)}
+
+
+def load_queries(path: str) -> dict[str, dict[str, list[str]]]:
+    """Search queries by country and category, from a file of that shape; missing cells are empty."""
+    return {c: {k: list(qs or []) for k, qs in (cells or {}).items()} for c, cells in (load_yaml(path) or {}).items()}
+
+
+def load_words(country: str | None = None, category: str | None = None, context: str | None = None) -> Words:
+    """The word lists of a screening run from its rule files; what no file gives keeps its shipped value."""
+    got = {}
+    if country:
+        got["country"] = load_country_words(country)
+    if category:
+        got["category"] = load_category_words(category)
+    if context:
+        words = load_context_words(context)
+        keys = {"organisation": "organizational_keywords", "medical": "medical_exclusion_keywords", "physical": "physical_environment_keywords"}
+        got |= {k: words[v] for k, v in keys.items() if v in words}
+    return Words(**got)

@@ -43,10 +43,49 @@ def first_there(spark: SparkSession, *paths: str) -> str | None:
     return None
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """``(path, folder, name)`` of the files below a folder, without reading them; empty files are left out."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path")
-    return f.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"))
+def filesystem(path: str):
+    """``(file system, path in it)`` of an address that all executors can reach, for use in tasks."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
+def list_files(spark: SparkSession, folders: str | list[str], pattern: str = "*.pdf") -> DataFrame:
+    """``(path, folder, name, bytes)`` of the files below the folders, empty ones included, without reading them; folders that are not there have none. A folder is listed by one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from fnmatch import fnmatch
+
+        from pyarrow.fs import FileSelector, FileType
+
+        for b in batches:
+            out = []
+            for top in b["top"]:
+                fs, place = filesystem(top)
+                for f in fs.get_file_info(FileSelector(place, recursive=True, allow_not_found=True)):
+                    if f.type == FileType.File and fnmatch(f.base_name, pattern):
+                        out.append((f.path, f.path.rsplit("/", 2)[-2] if f.path.count("/") > 1 else "", f.base_name, f.size))
+            yield pd.DataFrame(out, columns=["path", "folder", "name", "bytes"])
+
+    tops = [folders] if isinstance(folders, str) else list(folders)
+    rows = spark.createDataFrame([(f,) for f in tops], "top string").repartition(max(1, len(tops)), "top")
+    return rows.mapInPandas(run, "path string, folder string, name string, bytes bigint").distinct()
+
+
+def collect_pdfs(spark: SparkSession, root: str, countries: list[str], single: str | None = None) -> DataFrame:
+    """The PDF files of the countries' folders in order of country and path, or the one file ``single`` if it is there and is one."""
+    if single:
+        there = first_there(spark, single) if single.lower().endswith(".pdf") else None
+        return spark.createDataFrame([(single, *single.rsplit("/", 2)[-2:])] if there else [], "path string, folder string, name string")
+    order = F.array_position(F.array(*map(F.lit, countries)), F.col("folder"))
+    return list_files(spark, [f"{root.rstrip('/')}/{c}" for c in countries]).select("path", "folder", "name").orderBy(order, "path")
+
+
+def with_existence(records: DataFrame, listing: DataFrame, path: str = "path", name: str = "there") -> DataFrame:
+    """``records`` with whether the file in column ``path`` is in a listing ``(path)``; null paths are not."""
+    known = listing.select(F.col("path").alias("_path")).distinct().withColumn(name, F.lit(True))
+    out = records.drop(name).join(known, F.col(path) == F.col("_path"), "left").drop("_path")
+    return out.withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def pdf_texts(spark: SparkSession, folder: str) -> DataFrame:

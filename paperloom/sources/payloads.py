@@ -114,3 +114,12 @@ def lookup(raw: DataFrame) -> DataFrame:
     """Open-access lookups by DOI, flattened."""
     best = F.col("best_oa_location")
     return raw.select("doi", F.coalesce("is_oa", F.lit(False)).alias("is_oa"), _s("oa_status").alias("oa_status"), _s(best["url_for_pdf"]).alias("pdf_url"), _s(best["license"]).alias("license"), _s(best["host_type"]).alias("host_type"))
+
+
+def looked_up(records: DataFrame, found: DataFrame, doi: str = "doi") -> DataFrame:
+    """``records`` with the flattened lookup of their DOI as ``l_*`` columns; no DOI, none found or an error is the empty record.  ``found`` has one row per DOI, compared stripped and in lower case."""
+    one = lookup(found).withColumn("_k", F.lower(F.trim("doi"))).where("_k <> ''").dropDuplicates(["_k"])
+    cols = ["oa_status", "pdf_url", "license", "host_type"]
+    one = one.select("_k", F.col("is_oa").alias("l_is_oa"), *(F.col(c).alias(f"l_{c}") for c in cols))
+    out = records.join(one, F.lower(F.trim(records[doi])) == F.col("_k"), "left").drop("_k")
+    return out.withColumns({"l_is_oa": F.coalesce("l_is_oa", F.lit(False))} | {f"l_{c}": _s(f"l_{c}") for c in cols})

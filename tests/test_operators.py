@@ -179,3 +179,51 @@ def test_group_rank(spark):
         for k, d in enumerate(sorted((d for d in data if d[1] == g), key=lambda d: (-d[2], d[0])), 1):
             want[d[0]] = k
     assert got == want
+
+
+def test_category_spellings(spark):
+    got = spark.createDataFrame([(c,) for c in ("Stereotypes / Ageism", " stereotypes / AGEISM ", " 2 x", "7 x", "23", "unknown", "", None)], "c string").select(organize.category_number(F.col("c")).alias("n")).collect()
+    assert [r.n for r in got] == [1, 1, 2, None, None, None, None, None]
+
+
+def test_organise(spark):
+    rows = [(1, "Japan", "Stereotypes / Ageism", "One", "/a.pdf", 0), (2, "Japan", "Stereotypes / Ageism", "Two", "/a.pdf", 1), (3, "Japan", "x", "T", "/a.pdf", 0), (4, "Japan", "1 x", "T", "/none.pdf", 0), (5, "Japan", "1 x", None, None, 0), (6, "Japan", "1 x", "T", "/a.pdf", 9), (7, "Laos", "1 x", "T", "/a.pdf", 0)]
+    r = spark.createDataFrame([(*x, "extra") for x in rows], "cand_no int, country string, category string, title string, local_pdf_path string, w int, note string")
+    there, taken = spark.createDataFrame([("/a.pdf",)], "path string"), spark.createDataFrame([("Japan", "JAPAN_1-1_one.pdf")], "country string, name string")
+    got = {x.cand_no: x for x in organize.organise(r, there, taken, "/out/", "/d", F.col("w"), F.col("w") == 9, "cand_no", ["Japan"]).collect()}
+    assert {k: v.status for k, v in got.items()} == {1: "dry_run", 2: "dry_run", 3: "error", 4: "skipped_missing_file", 5: "skipped_no_pdf", 6: "skipped_rejected"}
+    assert (got[1].new_path, got[1].note, got[2].new_path, got[2].sequence) == ("/out/Japan/Japan_1-1_one_dup1.pdf", "renamed: Japan_1-1_one.pdf -> Japan_1-1_one_dup1.pdf", "/out/Japan/Japan_1-2_two.pdf", 2)
+    assert organize.organise(r.where("cand_no < 0"), there, taken, "/out", "/d", F.col("w"), F.lit(False), "cand_no", ["Japan"]).count() == 0
+
+
+def test_states_weights_and_workplace(spark):
+    t = spark.createDataFrame([("", 1, False), ("few words", 1, False), ("few words " + "x" * 90, 1, False), ("w " * 100, 1, False), ("w " * 100, 1, True)], "t string, p int, bad boolean")
+    assert [r.s for r in t.select(clean.text_state(F.col("t"), F.col("p"), F.col("bad")).alias("s")).collect()] == ["no_text", "short_scanned", "short", "text", "error"]
+    w = spark.createDataFrame([("a",), ("z",), (None,)], "v string").select(grid.weighted(F.col("v"), {"a": 4}, 1).alias("w"))
+    assert [r.w for r in w.collect()] == [4, 1, 1]
+    from paperloom.operators.keywords import workplace
+
+    r = workplace(spark.createDataFrame([("Employee voice", None, None), (None, None, None)], "title string, abstract string, journal_source string")).collect()
+    assert (r[0].in_workplace, r[1].in_workplace, r[1].workplace_hits) == (True, False, [])
+
+
+def test_short_titles_are_compared_exactly(spark):
+    from paperloom.operators.dedup import indel, similar_pairs
+
+    rnd = random.Random(8)
+    base = ["abcdef", "abxcdef", "abcdefg", "abcde", "abcd", "bcdefg", "aaaaaa", "aaaaaaa", "a" * 30, "a" * 31, "a" * 33]
+    for n in (6, 7, 8, 9, 12, 20, 29, 40):
+        for _ in range(6):
+            s = "".join(rnd.choice("abcd ") for _ in range(n)).strip() or "q"
+            base += [s, s[:2] + s[3:], s[:3] + "z" + s[3:], s + "zz"]
+    titles = sorted(set(base))
+    got = {(r.a, r.b) for r in similar_pairs(spark.createDataFrame(list(enumerate(titles)), "o bigint, s string")).collect()}
+    want = {(i, j) for i, x in enumerate(titles) for j, y in enumerate(titles) if i < j and 100 * indel(x, y) <= 8 * (len(x) + len(y))}
+    assert got == want and (titles.index("abcdef"), titles.index("abxcdef")) in got
+
+
+def test_long_chain_of_duplicates(spark):
+    """Neighbours share a DOI or a title in turn: every second row is an original."""
+    rows = [(i, f"10.9/{i // 2}", f"title number {(i + 1) // 2} of the chain") for i in range(150)]
+    got = {r.ord: r.duplicate_of for r in dedup.deduplicate(spark.createDataFrame(rows, "ord bigint, doi string, title string"), fuzzy=False).collect()}
+    assert got == {i: None if i % 2 == 0 else i - 1 for i in range(150)}

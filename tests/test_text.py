@@ -65,3 +65,15 @@ def test_present(spark):
     df = spark.createDataFrame([("", 0, False), (None, None, None), ("x", 1, True)], "s string, n int, b boolean")
     got = df.select(T.present("s").alias("s"), T.present("n", "number").alias("n"), T.present("b", "boolean").alias("b")).collect()
     assert [tuple(r) for r in got] == [(False,) * 3, (False,) * 3, (True,) * 3]
+
+
+def test_fold_is_exact_for_every_sign(spark):
+    """All signs of the basic plane that unfold to ASCII, and some beyond it, one by one and together."""
+    import unicodedata
+
+    from paperloom.functions import text as T
+
+    signs = [chr(o) for o in [*range(0x80, 0xD800), *range(0xE000, 0x10000), 0x1D400, 0x1F100, 0x1F600] if unicodedata.normalize("NFKD", chr(o)) != chr(o) or o > 0xFFFF]
+    rows = [f"a{s}b" for s in signs] + ["é½ﬁⅧ㎏x", "", None]
+    got = [r.x for r in spark.createDataFrame([(r,) for r in rows], "s string").select(T.ascii_fold("s").alias("x")).collect()]
+    assert got == ["" if r is None else unicodedata.normalize("NFKD", r).encode("ascii", "ignore").decode() for r in rows]
