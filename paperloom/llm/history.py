@@ -63,31 +63,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_gram_hash: dict[str, int] = {}
+_lowest: dict[str, np.ndarray] = {}
 
 
 def _grams(tokens: list[str]) -> np.ndarray:
+    """Hashes of the letter trigrams of the words, each once."""
     out = set()
     for w in tokens:
         w = f"^{w}$"
         for i in range(len(w) - 2):
             out.add(w[i : i + 3])
-    hashes = []
-    for g in out:
-        h = _gram_hash.get(g)
-        if h is None:
-            if len(_gram_hash) > 1_000_000:
-                _gram_hash.clear()
-            h = _gram_hash[g] = int.from_bytes(g.encode("utf-32-le", "surrogatepass")[:12].ljust(16, b"\0"), "little") * 0x9E3779B97F4A7C15F39CC0605CEDC835 >> 40 & 0xFFFFFFFFFFFFFFFF
-        hashes.append(h)
-    return _mix(np.array(hashes, dtype=np.uint64))
+    codes = [int.from_bytes(g.encode("utf-32-le", "surrogatepass")[:12].ljust(16, b"\0"), "little") * 0x9E3779B97F4A7C15F39CC0605CEDC835 >> 40 & 0xFFFFFFFFFFFFFFFF for g in out]
+    return _mix(np.array(codes, dtype=np.uint64))
+
+
+def _word_lowest(w: str) -> np.ndarray:
+    """The least hash of a word's trigrams under every permutation."""
+    got = _lowest.get(w)
+    if got is None:
+        if len(_lowest) > 50_000:
+            _lowest.clear()
+        got = _lowest[w] = _mix(_grams([w])[:, None] * _SEED[0] + _SEED[1]).min(axis=0)
+    return got
+
+
+_bits: dict[str, int] = {}
 
 
 def parity(tokens: list[str]) -> int:
     """A signed 64-bit parity of the words: each word of difference between two lists flips one bit at most."""
     out = 0
     for w in tokens:
-        out ^= 1 << (hash_word(w) & 63)
+        bit = _bits.get(w)
+        if bit is None:
+            if len(_bits) > 500_000:
+                _bits.clear()
+            bit = _bits[w] = 1 << (hash_word(w) & 63)
+        out ^= bit
     return out - (1 << 64) if out >> 63 else out
 
 
@@ -101,7 +113,7 @@ def hash_word(w: str) -> int:
 
 def tree_keys(tokens: list[str]) -> np.ndarray:
     """One 64-bit key for each tree: ``DEPTH`` min-hash bytes, the first the most significant, moved so that signed numbers keep their order."""
-    low = _mix(_grams(tokens)[:, None] * _SEED[0] + _SEED[1]).min(axis=0)
+    low = np.minimum.reduce([_word_lowest(w) for w in tokens])
     bytes_ = (_mix(low) & np.uint64(0xFF)).astype(np.uint8).reshape(TREES, DEPTH)
     return (np.ascontiguousarray(bytes_).view(">u8").reshape(TREES).astype(np.uint64) ^ _TOP).view(np.int64)
 
