@@ -1,9 +1,9 @@
 """Problem 6: test items inside training documents, by size-partitioned min-hash containment search.
 
 Each item is a set of word triples.  Items are partitioned by the size of that
-set; a partition's items keep the bottom-k min-hash sketch that its largest
-size needs to hit the wanted containment with the recall target, so a short
-item keeps its whole set and a long one a bounded part.  Every triple of every
+set; an item keeps the bottom-k min-hash sketch that its partition needs to hit
+a passage of the wanted containment with the recall target: short items need
+their whole set, long ones some forty triples whatever their length.  Every triple of every
 document probes the sketches; a hit fixes where the item would start in the
 document, and the passage there is verified word by word.
 
@@ -28,7 +28,7 @@ from paperloom.session import materialise
 SHINGLE = 3
 CONTAINMENT = 0.5
 REPLACED = 2
-RECALL = 0.999
+RECALL = 0.9999
 CHUNK_TRIPLES = 4_000_000
 #: First words that this many different texts share are an opening; three words that stand between as many different neighbours are a turn of speech (see :func:`marked`).
 SHARED_BY = 3
@@ -51,13 +51,17 @@ def passage_words(text: str | None) -> list[str]:
     return _WORD.findall(text.translate(_HYPHENS).lower())
 
 
-def sketch_size(shingles: int, containment: float = CONTAINMENT, recall: float = RECALL, intact: float = 0.25) -> int:
-    """Sketch entries an item of so many shingles needs: all of them while few, else enough that one intact shingle of the passage is kept.
-
-    ``intact`` is the share of the passage's shingles that the replaced words leave whole.
-    """
-    need = math.ceil(math.log(1 - recall) / math.log(1 - containment * intact))
-    return min(shingles, max(64, need))
+def sketch_size(words: int, containment: float = CONTAINMENT, recall: float = RECALL) -> int:
+    """Triples of an item of so many words that its sketch holds: of any passage of the containment, with its replaced words, the larger of two parts that a stray line cuts it into shows one of them with probability ``recall``."""
+    n = words - SHINGLE + 1
+    intact = math.ceil(math.ceil(words * containment) / 2) - SHINGLE + 1 - REPLACED * SHINGLE
+    if intact < 1:
+        return max(0, n)
+    missed, k = 1.0, 0
+    while missed > 1 - recall and k < n:
+        missed *= max(0, n - intact - k) / (n - k)
+        k += 1
+    return k
 
 
 def _hash(keys: np.ndarray) -> np.ndarray:
@@ -88,14 +92,13 @@ class ItemIndex:
             self.fresh.append(fresh)
         keys, item, at = [], [], []
         largest: dict[int, int] = {}
-        for t in triples:  # partitions: sizes up to 2, 4, 8, ...
-            part = max(1, len(t)).bit_length()
-            largest[part] = max(largest.get(part, 0), len(t))
+        for w in self.words:  # partitions: up to 2, 4, 8, ... words
+            part = len(w).bit_length()
+            largest[part] = max(largest.get(part, 0), sketch_size(len(w)))
         for k, t in enumerate(triples):
             if not len(t):
                 continue
-            size = sketch_size(largest[max(1, len(t)).bit_length()])
-            kept = np.argsort(_hash(t), kind="stable")[:size]
+            kept = np.argsort(_hash(t), kind="stable")[: largest[len(self.words[k]).bit_length()]]
             keys.append(t[kept])
             item.append(np.full(len(kept), k))
             at.append(kept)
@@ -144,15 +147,17 @@ class ItemIndex:
         rows = {s: self._equal(k, s, ids) for s in starts}
         if any(_holds(e, own, need) for e in rows.values()):
             return True
-        order = sorted(rows)
-        for x, s in enumerate(order):  # a stray line inside the passage shifts what follows it
-            for s2 in order[x + 1 :]:
-                if s2 - s > STRAY:
-                    break
-                if int((rows[s] | rows[s2]).sum()) >= need - REPLACED:
-                    for cut in range(2, n - 1):
-                        if _holds(np.concatenate([rows[s][:cut], rows[s2][cut:]]), own, need):
-                            return True
+        # a stray line inside the passage shifts what follows it; the smaller part may show no triple of the sketch
+        for s, row in rows.items():
+            if int(row.sum()) < (need - REPLACED) / 2:
+                continue
+            for shift in range(1, STRAY + 1):
+                for first, second in ((s, s + shift), (s - shift, s)):
+                    x, y = (rows[t] if t in rows else self._equal(k, t, ids) for t in (first, second))
+                    if int((x | y).sum()) >= need - REPLACED:
+                        for cut in range(2, n - 1):
+                            if _holds(np.concatenate([x[:cut], y[cut:]]), own, need):
+                                return True
         return False
 
 
