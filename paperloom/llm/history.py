@@ -133,18 +133,25 @@ class Corrector:
     def _shown(w: str) -> set[str]:
         return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
 
-    def __call__(self, w: str) -> str:
+    def meant(self, w: str) -> frozenset[str]:
+        """The words in wide use that a rare word is one slip away from; none for a word in wide use."""
         if w in self.common or not 3 <= len(w) <= 42 or w.isdigit():
-            return w
+            return frozenset()
         got = self.known.get(w)
         if got is None:
             if len(self.known) > 500_000:
                 self.known.clear()
             met = {c for x in self._shown(w) for c in self.near.get(x, ())}
-            fits = [c for c in met if max(len(c), len(w)) >= 4 and not c.isdigit() and within_one(c, w)]
-            got = self.known[w] = min(fits, default=w)
+            got = self.known[w] = frozenset(c for c in met if max(len(c), len(w)) >= 4 and not c.isdigit() and within_one(c, w))
         return got
 
+    def __call__(self, w: str) -> str:
+        return min(self.meant(w), default=w)
+
+    def alike(self, a: str, b: str) -> bool:
+        """Whether two rare words are slips of one word in wide use."""
+        return not self.meant(a).isdisjoint(self.meant(b))
+
 
 def canonical(records: DataFrame, no: str = "cand_no", title: str = "title", doi: str = "doi", id: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(no, *keep, doi_key, canon)``: the bare DOI (of ``doi``, else of an ``id`` made from one) and the canonical title.
@@ -265,13 +272,14 @@ def verified(pairs: DataFrame, titles: DataFrame, common: set[str]) -> DataFrame
     sent = pairs.sparkSession.sparkContext.broadcast(frozenset(common))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        correct = Corrector(sent.value)
         now, reached = None, 0  # the probe, and the depth at which it was linked
         for b in batches:
             out = []
             for p, r, depth, x, y in zip(b["p"], b["r"], b["depth"], b["cp"], b["cr"], strict=True):
                 if p != now:
                     now, reached = p, 0
-                if depth >= reached and same_title(x.split(" "), y.split(" "), sent.value):
+                if depth >= reached and same_title(x.split(" "), y.split(" "), sent.value, alike=correct.alike):
                     reached = depth
                     out.append((min(p, r), max(p, r)))
             yield pd.DataFrame(out, columns=["a", "b"])

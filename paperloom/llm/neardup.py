@@ -1,17 +1,21 @@
 """Problem 4: near-duplicate records, found by pigeonring filtering on a vector of min-hashes.
 
-A record's abstract becomes a vector of ``SYMBOLS`` min-hashes of its word
-pairs, cut into ``SEGMENTS`` segments on a ring.  By the pigeonring principle,
-two vectors that differ in at most ``SEGMENTS - 1`` symbols have a place on
-the ring from which the first l segments together hold at most
-``l * (SEGMENTS - 1) / SEGMENTS`` differences for every l; the first of them is
-then equal.  So equal segments are joined, pairs whose chain breaks the budget
-are dropped before the full Hamming check, and what is left is verified on the
-texts.  Pairs beyond the guaranteed distance are still found when some chain
-holds under ``CHAIN_BUDGET``; TESTS and README give the measured recall.
-
-Records of one canonical title and one bag of abstract words are one class
-with one vector: copies never meet in the join.
+A record's abstract becomes a vector of ``SYMBOLS`` min-hashes of its bag of
+words (a word's repeats are elements of their own), so the share of symbols in
+which two vectors agree estimates just the similarity that is asked for,
+whatever the order of the words.  The vector is cut into ``SEGMENTS`` segments
+on a ring.  By the pigeonring principle, two vectors that differ in at most
+``HAMMING`` symbols have a place on the ring from which the first l segments
+together hold at most ``l * HAMMING / SEGMENTS`` differences for every l; the
+first of them is then equal.  So equal segments of records with like titles
+are joined, pairs whose chain breaks its budget are dropped before the full
+Hamming check, and what is left is verified on the texts.  Of pairs at the
+least similarity, ``HAMMING`` differences or fewer hold for 0.999.
+
+Titles are classed first, by the prefix-tree hash forest; the class is part of
+the key, so one boilerplate abstract under many titles makes no pairs.  Records
+of one canonical title and one bag of words are one class with one vector:
+copies never meet in the join.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
-from paperloom.llm.history import PARITY_BITS, _mix, common_words, hash_word, parity
+from paperloom.llm.history import Corrector, HistoryForest, _mix, hash_word
 from paperloom.llm.textforms import same_title, text_words, title_tokens
-from paperloom.session import materialise
+from paperloom.session import materialise, tidy
 
-SYMBOLS, SEGMENTS = 63, 21
-#: Differences a chain may hold per segment, its length, and the full Hamming budget (in symbols).
-CHAIN_BUDGET, CHAIN, HAMMING = 1.45, 4, 40
+SYMBOLS, SEGMENTS = 36, 18
+#: The full Hamming budget in symbols, and the segments of a chain that are looked at before it.
+HAMMING, CHAIN = 17, 4
 SIMILARITY = 0.75
+_WIDTH = SYMBOLS // SEGMENTS
 
 _SEED = np.random.default_rng(11).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 _hashes: dict[str, int] = {}
@@ -50,11 +55,17 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def vector(words: list[str]) -> np.ndarray:
-    """``SYMBOLS`` unsigned 64-bit min-hashes of the pairs of neighbouring words (of the single word, if there is one only)."""
-    h = _word_hashes(words)
-    pairs = _mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else _mix(h)
-    return _mix(np.unique(pairs)[:, None] * _SEED[0] + _SEED[1]).min(axis=0)
+def elements(words: list[str]) -> np.ndarray:
+    """Hashes of the elements of a bag of words: each word with the number of its repeat."""
+    h = np.sort(_word_hashes(words))
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    repeat = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
+    return _mix(h + repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def vector(bag: np.ndarray) -> np.ndarray:
+    """``SYMBOLS`` unsigned 64-bit min-hashes of the elements of a bag."""
+    return _mix(bag[:, None] * _SEED[0] + _SEED[1]).min(axis=0)
 
 
 def shared(x: list[str], y: list[str]) -> float:
@@ -65,82 +76,77 @@ def shared(x: list[str], y: list[str]) -> float:
 
 
 def classes(records: DataFrame, no: str = "cand_no", title: str = "title", text: str = "abstract") -> DataFrame:
-    """``(no, class, canon, words)`` for the rows with a title and a text: canonical title, the text's words in order, and a hash of title and bag of words."""
+    """``(no, class, canon, words, symbols, segments)`` for the rows with a title and a text: a hash of title and bag of words, the canonical title, the text's words in order, one byte of each symbol, and the segments' hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out, low, keys = [], [], []
             for n, t, a in zip(b[no], b[title], b[text], strict=True):
                 if not t or not a:
                     continue
                 c, w = title_tokens(t), text_words(a)
                 if c and w:
-                    bag = _word_hashes(w)
-                    with np.errstate(over="ignore"):
-                        key = int(_mix(bag).sum(dtype=np.uint64)) ^ (hash_word(" ".join(c)) * 3 & 0xFFFFFFFFFFFFFFFF)
-                    out.append((n, key - (1 << 64) if key >> 63 else key, " ".join(c), " ".join(w)))
-            yield pd.DataFrame(out, columns=["no", "class", "canon", "words"])
-
-    return records.select(F.col(no).cast("bigint").alias(no), title, text).mapInPandas(run, "no bigint, class bigint, canon string, words string")
-
-
-def segments(reps: DataFrame) -> DataFrame:
-    """One row for each record and segment: the segment's key, where it lies, the one-byte symbols that follow on the ring, the title's parity."""
-    width = SYMBOLS // SEGMENTS
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = np.arange(SEGMENTS, dtype=np.int8)
-        for b in batches:
-            if not len(b):
-                continue
-            v = np.stack([vector(w.split(" ")) for w in b["words"]])
-            key = v.reshape(len(v), SEGMENTS, width)
-            key = _mix(_mix(key[:, :, 0]) * np.uint64(3) + _mix(key[:, :, 1]) * np.uint64(5) + key[:, :, 2]).astype(np.int64)
-            low = (_mix(v) & np.uint64(0xFF)).astype(np.uint8)
-            ring = np.concatenate([low, low[:, : CHAIN * width]], axis=1)
-            follow = [ring[i, (s + 1) * width : (s + CHAIN) * width].tobytes() for i in range(len(v)) for s in range(SEGMENTS)]
-            titles = np.array([parity(c.split(" ")) for c in b["canon"]], dtype=np.int64)
-            yield pd.DataFrame({"seg": np.tile(at, len(v)), "key": key.reshape(-1), "no": np.repeat(b["no"].to_numpy(), SEGMENTS), "parity": np.repeat(titles, SEGMENTS), "follow": follow})
-
-    return reps.select("no", "canon", "words").mapInPandas(run, "seg tinyint, key bigint, no bigint, parity bigint, follow binary")
-
-
-def ring_pairs(seg: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, that share a segment, may differ in few title words, and whose chain from there stays within its budget."""
-    width = SYMBOLS // SEGMENTS
-    a = seg.select("seg", "key", F.col("no").alias("a"), F.col("parity").alias("pa"), F.col("follow").alias("fa"))
-    b = seg.select("seg", "key", F.col("no").alias("b"), F.col("parity").alias("pb"), F.col("follow").alias("fb"))
-    met = a.join(b, ["seg", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= PARITY_BITS))
+                    bag, c = elements(w), " ".join(c)
+                    v = vector(bag)
+                    key = int(bag.sum(dtype=np.uint64)) ^ (hash_word(c) * 3 & 0xFFFFFFFFFFFFFFFF)
+                    out.append((n, key - (1 << 64) if key >> 63 else key, c, " ".join(w)))
+                    low.append(v.astype(np.uint8).tobytes())
+                    keys.append(v.reshape(SEGMENTS, _WIDTH))
+            got = pd.DataFrame(out, columns=["no", "class", "canon", "words"]).assign(symbols=pd.Series(low, dtype=object))
+            k = np.stack(keys) if keys else np.zeros((0, SEGMENTS, _WIDTH), dtype=np.uint64)
+            whole = k[:, :, 0]
+            for i in range(1, _WIDTH):
+                whole = _mix(whole) + k[:, :, i]
+            got["segments"] = pd.Series(list(whole.astype(np.int64)), dtype=object)
+            yield got
+
+    return records.select(F.col(no).cast("bigint").alias(no), title, text).mapInPandas(run, "no bigint, class bigint, canon string, words string, symbols binary, segments array<bigint>")
+
+
+def title_classes(reps: DataFrame) -> tuple[DataFrame, set[str]]:
+    """``(canon, like)`` of the distinct titles, ``like`` the same for titles that are one but for slips (directly or through others), and the words in wide use."""
+    titles = materialise(reps.groupBy("canon").agg(F.min("no").alias("cid")), "titles")
+    forest = HistoryForest(reps.sparkSession)
+    links = forest.accept(titles)
+    forest.drop()
+    of = components(links).toDF("cid", "root")
+    return titles.join(of, "cid", "left").select("canon", F.coalesce("root", "cid").alias("like")), forest.common
+
+
+def ring_pairs(reps: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)``, a < b, of like titles that share a segment and whose chain from there stays within its budget; of ``(no, like, symbols, segments)``."""
+    ring = F.concat("symbols", F.substring("symbols", 1, CHAIN * _WIDTH))
+    seg = reps.select("no", "like", ring.alias("ring"), F.posexplode("segments").alias("at", "hash")).select("no", F.xxhash64("at", "hash", "like").alias("key"), F.expr(f"substring(ring, at * {_WIDTH} + {_WIDTH + 1}, {(CHAIN - 1) * _WIDTH})").alias("follow"))
+    met = seg.select("key", F.col("no").alias("a"), F.col("follow").alias("fa")).join(seg.select("key", F.col("no").alias("b"), F.col("follow").alias("fb")), "key").where("a < b")
     so_far, ok = F.lit(0), F.lit(True)
     for k in range(CHAIN - 1):
-        for i in range(k * width + 1, (k + 1) * width + 1):
+        for i in range(k * _WIDTH + 1, (k + 1) * _WIDTH + 1):
             so_far = so_far + F.when(F.substring("fa", i, 1) == F.substring("fb", i, 1), 0).otherwise(1)
-        ok = ok & (so_far <= F.lit(int((k + 2) * CHAIN_BUDGET)))
+        ok = ok & (so_far <= F.lit((k + 2) * HAMMING // SEGMENTS))
     return met.where(ok).select("a", "b").distinct()
 
 
 def representative_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(a, b)`` of different classes' representatives that carry nearly the same text and title."""
-    titles = reps.select("canon").distinct()
-    words = reps.sparkSession.sparkContext.broadcast(frozenset(common_words(titles)))
-    pairs = ring_pairs(segments(reps))
-    t = reps.select("no", "canon", "words")
-    both = pairs.join(t.toDF("a", "ca", "wa"), "a").join(t.toDF("b", "cb", "wb"), "b")
+    like, common = title_classes(reps)
+    sent = reps.sparkSession.sparkContext.broadcast(frozenset(common))
+    pairs = ring_pairs(reps.select("no", "canon", "symbols", "segments").join(like, "canon").drop("canon"))
+    t = reps.select("no", "canon", "words", "symbols")
+    both = pairs.join(t.toDF("a", "ca", "wa", "va"), "a").join(t.toDF("b", "cb", "wb", "vb"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        correct = Corrector(sent.value)
         for b in batches:
             yes = []
-            for ca, cb, wa, wb in zip(b["ca"], b["cb"], b["wa"], b["wb"], strict=True):
-                if not same_title(ca.split(" "), cb.split(" "), words.value):
-                    yes.append(False)
-                    continue
-                x, y = wa.split(" "), wb.split(" ")
-                yes.append(int((vector(x) != vector(y)).sum()) <= HAMMING and shared(x, y) >= similarity)
+            for ca, cb, wa, wb, va, vb in zip(b["ca"], b["cb"], b["wa"], b["wb"], b["va"], b["vb"], strict=True):
+                apart = int((np.frombuffer(va, np.uint8) != np.frombuffer(vb, np.uint8)).sum())
+                yes.append(apart <= HAMMING and same_title(ca.split(" "), cb.split(" "), sent.value, alike=correct.alike) and shared(wa.split(" "), wb.split(" ")) >= similarity)
             yield b.loc[yes, ["a", "b"]]
 
-    return both.select("a", "b", "ca", "cb", "wa", "wb").mapInPandas(run, "a bigint, b bigint")
+    return both.select("a", "b", "ca", "cb", "wa", "wb", "va", "vb").mapInPandas(run, "a bigint, b bigint")
 
 
+@tidy
 def near_duplicates(records: DataFrame, no: str = "cand_no", title: str = "title", text: str = "abstract", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: ``(no, rep)`` for every row with a title and a text, and ``(a, b)`` between representatives.
 
@@ -156,6 +162,7 @@ def near_duplicates(records: DataFrame, no: str = "cand_no", title: str = "title
     return members, links
 
 
+@tidy
 def groups(records: DataFrame, no: str = "cand_no", title: str = "title", text: str = "abstract") -> DataFrame:
     """``(no, group_no, n_links)`` for every row with a title and a text: the smallest row of its group and its representative's links to other classes."""
     members, links = near_duplicates(records, no, title, text)
@@ -165,6 +172,7 @@ def groups(records: DataFrame, no: str = "cand_no", title: str = "title", text:
     return out.select(F.col("no").alias(no), F.coalesce("root", "rep").alias("group_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+@tidy
 def row_pairs(records: DataFrame, no: str = "cand_no", title: str = "title", text: str = "abstract") -> DataFrame:
     """``(cand_a, cand_b)``: every pair of rows, copies included.  For reports that need the pairs themselves; :func:`near_duplicates` stays linear in the copies."""
     members, links = near_duplicates(records, no, title, text)

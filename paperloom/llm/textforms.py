@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from urllib.parse import unquote
 
 # Letters of Cyrillic and Greek that are drawn like a Latin letter (public Unicode confusables data).
@@ -167,8 +168,8 @@ def mistyped(a: str, b: str, common: frozenset | set) -> bool:
 MOST_SLIPS = 6
 
 
-def same_title(x: list[str], y: list[str], common: frozenset | set, most: int = MOST_SLIPS) -> bool:
-    """Whether two sorted word lists are one title but for slips in at most ``most`` words. Empty lists are never the same."""
+def same_title(x: list[str], y: list[str], common: frozenset | set, most: int = MOST_SLIPS, alike: Callable[[str, str], bool] | None = None) -> bool:
+    """Whether two sorted word lists are one title but for slips in at most ``most`` words. Empty lists are never the same. ``alike`` may know more pairs of words that are one."""
     if not x or not y:
         return False
     if x == y:
@@ -179,7 +180,7 @@ def same_title(x: list[str], y: list[str], common: frozenset | set, most: int =
     if len(dx) > most:
         return False
     # each left-over word needs its own partner; the lists are short, so plain search is exact
-    return _match(dx, dy, common)
+    return _match(dx, dy, common, alike)
 
 
 def _difference(x: list[str], y: list[str]) -> tuple[list[str], list[str]]:
@@ -198,7 +199,7 @@ def _difference(x: list[str], y: list[str]) -> tuple[list[str], list[str]]:
     return dx + x[i:], dy + y[j:]
 
 
-def _match(dx: list[str], dy: list[str], common) -> bool:
+def _match(dx: list[str], dy: list[str], common, alike) -> bool:
     if not dx:
         return True
-    return any(mistyped(dx[0], w, common) and _match(dx[1:], dy[:k] + dy[k + 1 :], common) for k, w in enumerate(dy))
+    return any((mistyped(dx[0], w, common) or (alike is not None and alike(dx[0], w))) and _match(dx[1:], dy[:k] + dy[k + 1 :], common, alike) for k, w in enumerate(dy))

@@ -51,11 +51,12 @@ def brute(data):
     tokens = {r[0]: title_tokens(r[4]) for r in data}
     distinct = {tuple(tokens[r[0]]) for r in data if tokens[r[0]] and r[1] == 0}  # words in wide use are those of the history
     common = {w for w in {w for t in distinct for w in t} if sum(w in t for t in distinct) >= max(H.COMMON_LEAST, H.COMMON_SHARE * len(distinct))}
+    alike = H.Corrector(common).alike
     for x in data:
         for y in data:
             if x[0] < y[0]:
                 d = doi_key(x[3])
-                if (d and d == doi_key(y[3])) or same_title(tokens[x[0]], tokens[y[0]], common):
+                if (d and d == doi_key(y[3])) or same_title(tokens[x[0]], tokens[y[0]], common, alike=alike):
                     a, b = find(x[0]), find(y[0])
                     parent[max(a, b)] = min(a, b)
     return {(find(r[0]), r[0]) for r in data if r[1] >= 1 and find(r[0]) < r[0]}

@@ -1,6 +1,7 @@
 import random
 
 from paperloom.llm import neardup as N
+from paperloom.llm.history import Corrector
 from paperloom.llm.textforms import same_title, text_words, title_tokens
 
 SCHEMA = "cand_no bigint, title string, abstract string, a string, rep string"
@@ -33,7 +34,8 @@ def brute(data):
     forms = [(r[0], title_tokens(r[1]), text_words(r[2])) for r in data if r[1] and r[2]]
     distinct = {tuple(t) for _, t, _ in forms}
     common = {w for t in distinct for w in t if sum(w in u for u in distinct) >= max(20, 0.0005 * len(distinct))}
-    return {(x[0], y[0]) for i, x in enumerate(forms) for y in forms[i + 1 :] if same_title(x[1], y[1], common) and N.shared(x[2], y[2]) >= N.SIMILARITY}
+    alike = Corrector(common).alike
+    return {(x[0], y[0]) for i, x in enumerate(forms) for y in forms[i + 1 :] if same_title(x[1], y[1], common, alike=alike) and N.shared(x[2], y[2]) >= N.SIMILARITY}
 
 
 def test_pairs_against_brute_force(spark):
@@ -44,7 +46,7 @@ def test_pairs_against_brute_force(spark):
         want = brute(data)
         assert len(got) == len(set(got)) and set(got) <= want
         found, wanted = found + len(got), wanted + len(want)
-    assert wanted > 100 and found >= 0.95 * wanted
+    assert wanted > 100 and found >= 0.99 * wanted
 
 
 def test_groups_and_edges(spark):
@@ -64,3 +66,35 @@ def test_long_text(spark):
     a = " ".join(f"w{i % 997}" for i in range(60_000))
     df = spark.createDataFrame([(1, "A title here", a, "", ""), (2, "A title here", a + " tail", "", "")], SCHEMA)
     assert {tuple(r) for r in N.row_pairs(df).collect()} == {(1, 2)}
+
+
+def test_order_is_free(spark):
+    """Abstracts put together anew from chunks of two or three words have all their words in common."""
+    rnd = random.Random(3)
+    data = []
+    for i in range(120):
+        t, w = " ".join(rnd.sample(WORDS, 9)), [rnd.choice(WORDS) for _ in range(90)]
+        size = 2 + i % 2
+        chunks = [w[k : k + size] for k in range(0, 90, size)]
+        rnd.shuffle(chunks)
+        data += [(2 * i, t, " ".join(w), "", ""), (2 * i + 1, t.title(), " ".join(x for c in chunks for x in c) + (" tail" if i % 5 else ""), "", "")]
+    got = {tuple(r) for r in N.row_pairs(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(120)}
+
+
+def test_one_abstract_under_many_titles_makes_no_pairs(spark):
+    """A boilerplate abstract stands under many different titles, some of them twice with a small edit."""
+    text = " ".join(WORDS[:60])
+    data = [(i, f"{WORDS[i % 80]} {chr(97 + i % 26) * 5} {WORDS[i // 80]} {chr(97 + i // 26) * 7}", text, "", "") for i in range(1500)]
+    data += [(5000 + i, data[i][1].upper(), text + " tail", "", "") for i in range(20)]
+    reps = N.classes(spark.createDataFrame(data, SCHEMA))
+    like, _ = N.title_classes(reps)
+    assert 20 <= N.ring_pairs(reps.join(like, "canon")).count() < 50  # some titles are slips of one another
+    assert {tuple(r) for r in N.row_pairs(spark.createDataFrame(data, SCHEMA)).collect()} >= {(i, 5000 + i) for i in range(20)}
+
+
+def test_two_slips_of_one_word(spark):
+    a = " ".join(WORDS[:30])
+    data = [(i, f"cutters of {WORDS[i]} {WORDS[i + 1]}", a, "", "") for i in range(0, 60, 2)]
+    data += [(100, "cuttnrs of the morta mortes vektor", a, "", ""), (101, "Cutterrs of the morta mortes vektor", a + " x", "", "")]
+    assert {tuple(r) for r in N.row_pairs(spark.createDataFrame(data, SCHEMA)).collect()} == {(100, 101)}
