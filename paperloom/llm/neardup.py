@@ -104,13 +104,15 @@ def classes(records: DataFrame, no: str = "cand_no", title: str = "title", text:
 
 
 def title_classes(reps: DataFrame) -> tuple[DataFrame, set[str]]:
-    """``(canon, like)`` of the distinct titles, ``like`` the same for titles that are one but for slips (directly or through others), and the words in wide use."""
-    titles = materialise(reps.groupBy("canon").agg(F.min("no").alias("cid")), "titles")
+    """``(no, like)`` of the representatives ``(no, canon)`` that are not alone in their class of like titles (one but for slips, directly or through others), and the words in wide use."""
+    titles = materialise(reps.groupBy("canon").agg(F.min("no").alias("cid"), F.count("*").alias("n")), "titles")
     forest = HistoryForest(reps.sparkSession)
-    links = forest.accept(titles)
+    links = forest.accept(titles.select("cid", "canon"))
     forest.drop()
     of = components(links).toDF("cid", "root")
-    return titles.join(of, "cid", "left").select("canon", F.coalesce("root", "cid").alias("like")), forest.common
+    like = materialise(titles.join(of, "cid", "left").select("canon", F.coalesce("root", "cid").alias("like"), "n"), "like")
+    several = like.groupBy("like").agg(F.sum("n").alias("k")).where("k > 1").select("like")
+    return reps.select("no", "canon").join(like.join(several, "like", "left_semi").select("canon", "like"), "canon").select("no", "like"), forest.common
 
 
 def ring_pairs(reps: DataFrame) -> DataFrame:
@@ -126,12 +128,13 @@ def ring_pairs(reps: DataFrame) -> DataFrame:
     return met.where(ok).select("a", "b").distinct()
 
 
-def representative_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, b)`` of different classes' representatives that carry nearly the same text and title."""
+def representative_pairs(rows: DataFrame, reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(a, b)`` of different classes' representatives ``(no, canon)`` that carry nearly the same text and title; ``rows`` are those of :func:`classes`."""
     like, common = title_classes(reps)
     sent = reps.sparkSession.sparkContext.broadcast(frozenset(common))
-    pairs = ring_pairs(reps.select("no", "canon", "symbols", "segments").join(like, "canon").drop("canon"))
-    t = reps.select("no", "canon", "words", "symbols")
+    wanted = materialise(rows.join(like, "no").select("no", "like", "canon", "words", "symbols", "segments"), "wanted")
+    pairs = ring_pairs(wanted.select("no", "like", "symbols", "segments"))
+    t = wanted.select("no", "canon", "words", "symbols")
     both = pairs.join(t.toDF("a", "ca", "wa", "va"), "a").join(t.toDF("b", "cb", "wb", "vb"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,10 +158,9 @@ def near_duplicates(records: DataFrame, no: str = "cand_no", title: str = "title
     between different texts is dropped and none is expanded over copies.
     """
     rows = materialise(classes(records, no, title, text), "classes")
-    of = rows.groupBy("class").agg(F.min("no").alias("rep"))
-    members = materialise(rows.select("no", "class").join(of, "class").select("no", "rep"), "members")
-    reps = rows.join(members.where("no = rep").select("no"), "no", "left_semi")
-    links = materialise(representative_pairs(reps, similarity), "links")
+    of = materialise(rows.groupBy("class").agg(F.min("no").alias("rep"), F.min_by("canon", "no").alias("canon")), "reps")
+    members = materialise(rows.select("no", "class").join(of.select("class", "rep"), "class").select("no", "rep"), "members")
+    links = materialise(representative_pairs(rows, of.select(F.col("rep").alias("no"), "canon"), similarity), "links")
     return members, links
 
 
