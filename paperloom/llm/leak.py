@@ -95,6 +95,7 @@ class ItemIndex:
         for w in self.words:  # partitions: up to 2, 4, 8, ... words
             part = len(w).bit_length()
             largest[part] = max(largest.get(part, 0), sketch_size(len(w)))
+        self.whole = [len(t) <= largest[len(w).bit_length()] for t, w in zip(triples, self.words, strict=True)]
         for k, t in enumerate(triples):
             if not len(t):
                 continue
@@ -147,17 +148,18 @@ class ItemIndex:
         rows = {s: self._equal(k, s, ids) for s in starts}
         if any(_holds(e, own, need) for e in rows.values()):
             return True
-        # a stray line inside the passage shifts what follows it; the smaller part may show no triple of the sketch
+        # a stray line inside the passage shifts what follows it; of a sampled item the smaller part may show no triple
         for s, row in rows.items():
             if int(row.sum()) < (need - REPLACED) / 2:
                 continue
-            for shift in range(1, STRAY + 1):
-                for first, second in ((s, s + shift), (s - shift, s)):
-                    x, y = (rows[t] if t in rows else self._equal(k, t, ids) for t in (first, second))
-                    if int((x | y).sum()) >= need - REPLACED:
-                        for cut in range(2, n - 1):
-                            if _holds(np.concatenate([x[:cut], y[cut:]]), own, need):
-                                return True
+            near = [t for t in rows if 0 < abs(t - s) <= STRAY] if self.whole[k] else [t for t in range(s - STRAY, s + STRAY + 1) if t != s]
+            for t in near:
+                first, second = min(s, t), max(s, t)
+                x, y = (rows[u] if u in rows else self._equal(k, u, ids) for u in (first, second))
+                if int((x | y).sum()) >= need - REPLACED:
+                    for cut in range(2, n - 1):
+                        if _holds(np.concatenate([x[:cut], y[cut:]]), own, need):
+                            return True
         return False
 
 
