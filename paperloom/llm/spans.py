@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.session import drop_materialised, materialise
+from paperloom.session import materialise, tidy
 
 SPAN = 300
 BITS_PER_BLOCK = 32
@@ -114,11 +114,11 @@ def _filter_table(blocks: DataFrame, size: int) -> DataFrame:
     return blocks.mapInPandas(run, "word bigint, bit bigint").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
 
 
-_HITS = "h bigint, no bigint, at int, block boolean, before int, after int"
+_HITS = "h bigint, no bigint, at int, block boolean, before int, after int, around bigint"
 
 
 def _hits(texts: DataFrame, width: int, filter_path: str | None, size: int, part: int, parts: int) -> DataFrame:
-    """Every window that passes the filter, with hashes of the half blocks before and after it."""
+    """Every window that passes the filter, with hashes of the half blocks before and after it, and of it with a whole block on either side (0 where the text ends before)."""
     half = width // 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,20 +143,18 @@ def _hits(texts: DataFrame, width: int, filter_path: str | None, size: int, part
                     before[ok] = window_hashes(h, at[ok] - half, half)
                     ok = at + width + half <= n
                     after[ok] = window_hashes(h, at[ok] + width, half)
-                    out.append(pd.DataFrame({"h": w[at].astype(np.int64), "no": no, "at": at.astype(np.int32), "block": at % width == 0, "before": (before & np.uint64(0x7FFFFFFF)).astype(np.int32), "after": (after & np.uint64(0x7FFFFFFF)).astype(np.int32)}))
+                    around = np.zeros(len(at), np.uint64)
+                    ok = (at >= width) & (at + 2 * width <= n)
+                    around[ok] = window_hashes(h, at[ok] - width, 3 * width) | np.uint64(1)
+                    out.append(pd.DataFrame({"around": around.astype(np.int64), "h": w[at].astype(np.int64), "no": no, "at": at.astype(np.int32), "block": at % width == 0, "before": (before & np.uint64(0x7FFFFFFF)).astype(np.int32), "after": (after & np.uint64(0x7FFFFFFF)).astype(np.int32)}))
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield pd.concat(out, ignore_index=True)[[c.split(" ")[0] for c in _HITS.split(", ")]]
 
     return texts.select("no", "text").mapInPandas(run, _HITS)
 
 
-def anchors(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """Distinct ``(a, b, at_a, at_b)``, a < b: equal windows of half a span, one of which is a reference block, that may lie in a shared span.
-
-    A span of twice the block's length reaches at least half a block beyond it
-    on one side, so hits that agree on neither side are dropped at once.
-    """
-    width = span // 2
+def hits_of(texts: DataFrame, width: int) -> DataFrame:
+    """All windows of ``width`` that may be a reference block of some text, written once."""
     blocks = materialise(_blocks(texts, width), "blocks")
     n = blocks.count()
     passes = max(1, -(-n // FILTER_BLOCKS))
@@ -173,7 +171,16 @@ def anchors(texts: DataFrame, span: int = SPAN) -> DataFrame:
     hits = found[0]
     for f in found[1:]:
         hits = hits.unionByName(f)
-    hits = materialise(hits, "hits")
+    return materialise(hits, "hits")
+
+
+def anchors(texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """Distinct ``(a, b, at_a, at_b)``, a < b: equal windows of half a span, one of which is a reference block, that may lie in a shared span.
+
+    A span of twice the block's length reaches at least half a block beyond it
+    on one side, so hits that agree on neither side are dropped at once.
+    """
+    hits = hits_of(texts, span // 2)
     ref = hits.where("block").select("h", F.col("no").alias("r"), F.col("at").alias("r_at"), F.col("before").alias("rb"), F.col("after").alias("ra"))
     met = hits.join(ref, "h").where("no <> r and ((before = rb and before <> 0) or (after = ra and after <> 0))")
     return met.select(F.least("no", "r").alias("a"), F.greatest("no", "r").alias("b"), F.when(F.col("no") < F.col("r"), F.col("at")).otherwise(F.col("r_at")).alias("at_a"), F.when(F.col("no") < F.col("r"), F.col("r_at")).otherwise(F.col("at")).alias("at_b")).distinct()
@@ -203,16 +210,22 @@ def maximal_repeats(x: str, y: str, at: list[tuple[int, int]], span: int) -> lis
     return out
 
 
+def classed(records: DataFrame, no: str = "doc_id", text: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """``(members, texts)``: ``(no, rep, n)`` for every row whose text has ``span`` characters or more, and the representatives' ``(no, text)``; whole copies share one."""
+    rows = records.where(F.length(text) >= span).select(F.col(no).cast("bigint").alias("no"), F.col(text).alias("text"))
+    keys = materialise(rows.select("no", F.md5("text").alias("k"), F.length("text").alias("n")), "keys")
+    members = materialise(keys.join(keys.groupBy("k", "n").agg(F.min("no").alias("rep")), ["k", "n"]).select("no", "rep", "n"), "members")
+    return members, rows.join(members.where("no = rep").select("no"), "no", "left_semi")
+
+
+@tidy
 def shared_spans(records: DataFrame, no: str = "doc_id", text: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """``(members, spans)``: ``(no, rep, n)`` for every row whose text has ``span`` characters or more, and ``(a, b, start_a, start_b, length)`` between representatives.
 
     Whole copies share a representative and never meet; ``n`` is the text's
     length.  Null and shorter texts are in neither table.
     """
-    rows = records.where(F.length(text) >= span).select(F.col(no).cast("bigint").alias("no"), F.col(text).alias("text"))
-    keys = materialise(rows.select("no", F.md5("text").alias("k"), F.length("text").alias("n")), "keys")
-    members = materialise(keys.join(keys.groupBy("k", "n").agg(F.min("no").alias("rep")), ["k", "n"]).select("no", "rep", "n"), "members")
-    texts = rows.join(members.where("no = rep").select("no"), "no", "left_semi")
+    members, texts = classed(records, no, text, span)
     pairs = anchors(texts, span).groupBy("a", "b").agg(F.collect_list(F.struct("at_a", "at_b")).alias("at"))
     pairs = materialise(pairs, "anchors")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
@@ -226,14 +239,56 @@ def shared_spans(records: DataFrame, no: str = "doc_id", text: str = "text", spa
     return members, spans
 
 
+def shared_parts(texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """``(rep, s, e)``: parts of the texts ``(no, text)`` whose union is what stands in spans shared with another text; without pairs of texts.
+
+    Every shared span is covered by windows of half a span that are a reference
+    block of one of its texts, each with half a span on either side as far as
+    the span reaches.  Texts that agree in a window and all around it are one
+    class and share that part at once; only one text of each class, and the
+    texts alone, are compared further: by all windows of a whole span that
+    hold the block, of which those that two texts have are shared.  So a
+    passage in n texts costs n rows.
+    """
+    width = span // 2
+    hits = hits_of(texts, width)
+    several = hits.groupBy("h").agg(F.min("no").alias("x"), F.max("no").alias("y")).where("x < y").select("h")
+    shared = materialise(hits.select("h", "no", "at", "around").join(several, "h"), "shared")
+    alone = F.when(F.col("around") == 0, F.xxhash64("no", "at")).otherwise(F.col("around"))  # cut short by an end of the text
+    shared = shared.withColumn("around", alone)
+    group = shared.groupBy("h", "around").agg(F.min("no").alias("first"), F.max("no").alias("last"))
+    group = materialise(group, "groups")
+    whole = shared.join(group.where("first < last").select("h", "around"), ["h", "around"], "left_semi").select(F.col("no").alias("rep"), (F.col("at") - width).alias("s"), (F.col("at") + 2 * width).alias("e"))
+    many = group.groupBy("h").count().where("count > 1").select("h")
+    one = group.join(many, "h", "left_semi").select("h", "around", F.col("first").alias("no"))
+    look = shared.join(one, ["h", "around", "no"], "left_semi").select("no", "at").distinct().groupBy("no").agg(F.collect_list("at").alias("ats"))
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for no, ats, t in zip(b["no"], b["ats"], b["text"], strict=True):
+                h = prefix_hashes(t)
+                near = np.asarray(ats, dtype=np.int64)
+                starts = np.zeros(len(t) + 2, dtype=np.int32)  # windows that hold a block begin up to half a span before it
+                np.add.at(starts, np.maximum(0, near + width - span), 1)
+                np.add.at(starts, near + 1, -1)
+                at = np.flatnonzero(np.cumsum(starts[: max(0, len(t) - span + 1)]) > 0)
+                if len(at):
+                    yield pd.DataFrame({"w": window_hashes(h, at, span).astype(np.int64), "no": no, "s": at.astype(np.int32)})
+
+    seen = materialise(look.join(texts, "no").mapInPandas(windows, "w bigint, no bigint, s int"), "windows")
+    twice = seen.groupBy("w").agg(F.min("no").alias("x"), F.max("no").alias("y")).where("x < y").select("w")
+    parts = seen.join(twice, "w", "left_semi").select(F.col("no").alias("rep"), "s", (F.col("s") + span).alias("e"))
+    return whole.unionByName(parts).distinct()
+
+
+@tidy
 def coverage(records: DataFrame, no: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """``(no, n_chars, shared_chars)`` for every row: how many of its characters stand in a shared span; a whole copy is shared throughout.
 
     Null texts have ``n_chars`` and ``shared_chars`` 0.
     """
-    members, spans = shared_spans(records, no, text, span)
-    parts = spans.select(F.col("a").alias("rep"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e"))
-    parts = parts.unionByName(spans.select(F.col("b").alias("rep"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e"))).distinct()
+    members, texts = classed(records, no, text, span)
+    parts = shared_parts(texts, span)
     seen = F.max("e").over(Window.partitionBy("rep").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(seen, F.lit(0)))))
     shared = parts.groupBy("rep").agg(F.sum("new").alias("shared"))
@@ -243,6 +298,7 @@ def coverage(records: DataFrame, no: str = "doc_id", text: str = "text", span: i
     return base.join(of.withColumnRenamed("no", "_no"), F.col(no) == F.col("_no"), "left").select(no, "n_chars", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared_chars"))
 
 
+@tidy
 def sharing_pairs(records: DataFrame, no: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """``(doc_a, doc_b)``: every pair of rows with a shared span, whole copies included."""
     members, spans = shared_spans(records, no, text, span)
