@@ -238,3 +238,8 @@ SQL["duplicates_exact"] = f"""with k as (select cand_no as o, lower({strip('doi'
     kept := case when len(list_filter(a.kept, lambda e: (e.d = x.d and x.d <> '') or (e.t = x.t and x.t <> ''))) = 0 then list_append(a.kept, struct_pack(o := x.o, d := x.d, t := x.t)) else a.kept end,
     dup := list_append(a.dup, struct_pack(o := x.o, leader := coalesce(list_min(list_transform(list_filter(a.kept, lambda e: e.d = x.d and x.d <> ''), lambda e: e.o)), list_min(list_transform(list_filter(a.kept, lambda e: e.t = x.t and x.t <> ''), lambda e: e.o))))))).dup as dups from r)
   select p.o as cand_no, p.leader as duplicate_of from (select unnest(dups) as p from z)"""
+
+_DASHED = "coalesce('- ' || replace(nullif({0}, ''), '{1}', chr(10) || '- '), '{2}')"
+SQL["document_notes"] = f"""select d.doc_id, array_to_string(['paper_id: ' || coalesce(paper_id, ''), 'country: ' || coalesce(country, ''), 'category_number: ' || coalesce(category_number::varchar, ''), '',
+  'kept_sections:', {_DASHED.format("kept_sections", "|", "- (none detected)")}, '', 'removed_sections:', {_DASHED.format("removed_sections", "|", "- (none detected)")}, '', 'warnings:', replace({_DASHED.format("replace(warnings, 'detected; line', 'detected;_line')", "; ", "- (none)")}, 'detected;_line', 'detected; line'), '',
+  'word_count_raw: ' || len({words('text')}), 'word_count_cleaned: ' || len({words('cleaned')})], chr(10)) as notes from documents d join ({SQL['documents_cleaned']}) c on d.doc_id = c.doc_id"""
