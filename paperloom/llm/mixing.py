@@ -4,7 +4,8 @@ With p the sources' shares of the tokens there are and q their target shares,
 the weights are ``q * (p / q) ** a``, normalised.  The exponent ``a`` is 0 for
 the targets themselves and 1 for the natural shares; bisection finds the
 smallest one for which no source is repeated more often than it may be at the
-wanted size.  A source's budget is realised as whole passes over it plus a
+wanted size.  Without targets of one's own, ``entropy`` gives some: the shares
+``p ** t``, normalised, with ``t`` bisected to that entropy.  A source's budget is realised as whole passes over it plus a
 part of one more pass, taken in the order of a keyed permutation of blocks;
 only the block in which the budget ends is ordered by document.
 """
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.session import materialise
+from paperloom.session import materialise, tidy
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Documents a block holds on average, and the most blocks a source is cut into.
 BLOCK_DOCS, MOST_BLOCKS = 64, 4096
+#: Blocks of all sources together up to which their sums are sent to every task; more are joined by a shuffle.
+MOST_SENT = 200_000
 # Fixed value: the public pattern that splits text before byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -64,6 +67,33 @@ class Plan:
     sources: dict[str, tuple[float, float, int]]
 
 
+def temperature_shares(tokens: dict[str, int], entropy: float) -> dict[str, float]:
+    """The sources' token shares raised to a power and normalised, the power bisected to the entropy (in nats) wanted; even shares where that is more than they have, one source's where it is 0."""
+    have = {s: n for s, n in tokens.items() if n > 0}
+    n = sum(have.values())
+
+    def shares(t: float) -> dict[str, float]:
+        top = max(have.values())
+        w = {s: (x / top) ** t for s, x in have.items()}
+        z = math.fsum(w.values())
+        return {s: x / z for s, x in w.items()}
+
+    def spread(t: float) -> float:
+        return -math.fsum(x * math.log(x) for x in shares(t).values() if x > 0)
+
+    if not n:
+        return {}
+    low, high = 0.0, 1.0
+    if spread(low) <= entropy:
+        return shares(low)
+    while spread(high) > entropy and high < 1 << 40:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (low, mid) if spread(mid) <= entropy else (mid, high)
+    return shares(high)
+
+
 def temperature_plan(tokens: dict[str, int], target: dict[str, float], most: dict[str, int], total: int | None = None) -> Plan:
     """Weights and budgets in tokens.
 
@@ -116,7 +146,8 @@ def _filled(q: dict[str, float], room: dict[str, int], total: int, target: dict[
     return {s: (target[s], budget.get(s, 0) / total, min(room[s], round(budget[s])) if s in budget else 0) for s in target}
 
 
-def mix(documents: DataFrame, targets: DataFrame, no: str = "doc_id", text: str = "text", source: str = "source", total: int | None = None, seed: int = 17, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+@tidy
+def mix(documents: DataFrame, targets: DataFrame, no: str = "doc_id", text: str = "text", source: str = "source", total: int | None = None, seed: int = 17, tokenizer: str = TOKENIZER, entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
     """``(chosen, report)``.
 
     ``chosen``: ``(no, source, repeats)`` of every document that is taken,
@@ -125,7 +156,8 @@ def mix(documents: DataFrame, targets: DataFrame, no: str = "doc_id", text: str
     and its actual share.  A budget ends with the document that reaches it,
     or before it where that document would exceed the most repeats.  Rows
     with a null source, or one without target, are left out; targets are one
-    row per source (the first by share where repeated).
+    row per source (the first by share where repeated).  With ``entropy`` the
+    sources of ``targets`` get :func:`temperature_shares` as targets instead.
     """
     spark = documents.sparkSession
     counts = materialise(token_counts(documents, no, text, source, tokenizer), "tokens")
@@ -133,6 +165,8 @@ def mix(documents: DataFrame, targets: DataFrame, no: str = "doc_id", text: str
     wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("q"), F.max("max_repeats").alias("most")).collect()
     target, most = {r.source: float(r.q or 0) for r in wanted}, {r.source: int(r.most or 1) for r in wanted}
     tokens = {s: int(per[s].tokens or 0) if s in per else 0 for s in target}
+    if entropy is not None:
+        target = dict.fromkeys(target, 0.0) | temperature_shares(tokens, entropy)
     plan = temperature_plan(tokens, target, most, total)
     rows = []
     for s, (q, w, budget) in plan.sources.items():
@@ -146,7 +180,7 @@ def mix(documents: DataFrame, targets: DataFrame, no: str = "doc_id", text: str
     sums = d.groupBy("source", "block").agg(F.sum("tokens").alias("t"), F.max("rest").alias("rest"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("t").over(order)).select("source", "block", (F.col("upto") - F.col("t")).alias("before"), F.col("upto"), "t")
-    d = d.join(F.broadcast(sums), ["source", "block"])  # at most MOST_BLOCKS rows for each source of the targets
+    d = d.join(F.broadcast(sums) if sum(r[-1] for r in rows) <= MOST_SENT else sums, ["source", "block"])
     inside = d.where("before < rest and upto > rest")
     w = Window.partitionBy("source", "block").orderBy(F.xxhash64("no", F.lit(seed + 2)), "no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("got", F.col("before") + F.sum("tokens").over(w) - F.col("tokens")).where("got < rest").select("source", "no", "tokens", (F.col("whole") + 1).alias("repeats"), "whole")

@@ -51,6 +51,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return variant_pairs(split_values(_read(spark, d, "candidates"), "cand_no", ("authors",), ("authors",), single=True))
 
 
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with its entity and the number of entities it may also stand for: linear in the spellings."""
+    from pyspark.sql import functions as F
+
+    from paperloom.llm.names import entities
+    from paperloom.operators.split_values import split_values
+
+    of, also = entities(split_values(_read(spark, d, "candidates"), "cand_no", ("authors",), ("authors",), single=True))
+    n = also.select(F.explode(F.array("entity", "other")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_links"))
+    return of.join(n, "entity", "left").select("val", "middle", "entity", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from paperloom.llm.leak import leaked
 
@@ -93,4 +105,4 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(_read(spark, d, "documents"))[1]
 
 
-QUERIES |= {f.__name__: f for f in (p5_found, p6_found, p6_items, p7_chosen, p7_mix, p8_found, p8_coverage, p8_spans)}
+QUERIES |= {f.__name__: f for f in (p5_found, p5_entities, p6_found, p6_items, p7_chosen, p7_mix, p8_found, p8_coverage, p8_spans)}

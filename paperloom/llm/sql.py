@@ -18,3 +18,10 @@ SQL: dict[str, str] = {
   n as (select doc_id, sum(case when before is null then 300 else least(300, k - before) end) as shared_chars from hit group by 1)
   select d.doc_id, coalesce(length(text), 0)::bigint as n_chars, coalesce(shared_chars, 0)::bigint as shared_chars from documents d left join n on d.doc_id = n.doc_id""",
 }
+
+# maximal repeats: runs of equal windows on one diagonal, between the first of each group of whole copies
+SQL["p8_spans"] = """with reps as (select min(doc_id) as doc_id, text from documents where length(text) >= 300 group by text),
+  w as (select doc_id, k, hash(substring(text, k + 1, 300)) as h from (select doc_id, text, unnest(range(0, length(text) - 299)) as k from reps)),
+  j as (select x.doc_id as a, y.doc_id as b, x.k as ka, y.k as kb from w x join w y on x.h = y.h and x.doc_id < y.doc_id),
+  r as (select *, ka - row_number() over (partition by a, b, ka - kb order by ka) as run from j)
+  select a, b, min(ka)::int as start_a, min(kb)::int as start_b, (max(ka) - min(ka) + 300)::int as length from r group by a, b, ka - kb, run"""

@@ -25,6 +25,16 @@ def test_plan_fills_up():
     assert M.temperature_plan({}, {"a": 1.0}, {}).total == 0
 
 
+def test_shares_of_an_entropy():
+    tokens = {"a": 900, "b": 90, "c": 10, "none": 0}
+    spread = lambda w: -sum(x * math.log(x) for x in w.values() if x > 0)
+    for h in (0.01, 0.3, 0.8, 1.09):
+        w = M.temperature_shares(tokens, h)
+        assert math.isclose(spread(w), h, abs_tol=1e-6) and w["a"] > w["b"] > w["c"]
+    assert all(math.isclose(x, 1 / 3) for x in M.temperature_shares(tokens, 5.0).values())
+    assert M.temperature_shares(tokens, 0.0)["a"] > 0.999 and M.temperature_shares({}, 1.0) == {}
+
+
 @needs_tokenizer
 def test_mix(spark):
     docs = [(i, f"text number {i} of many words " * (1 + i % 5), "a" if i % 10 else "b", "x") for i in range(400)] + [(900, None, "a", ""), (901, "no source", None, ""), (902, "odd source", "zzz", "")]
