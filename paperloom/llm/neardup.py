@@ -44,15 +44,15 @@ _hashes: dict[str, int] = {}
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    out = []
-    for w in words:
-        h = _hashes.get(w)
-        if h is None:
-            if len(_hashes) > 1_000_000:
-                _hashes.clear()
-            h = _hashes[w] = hash_word(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    if len(_hashes) > 1_000_000:
+        _hashes.clear()
+    try:
+        return np.array([_hashes[w] for w in words], dtype=np.uint64)
+    except KeyError:
+        for w in words:
+            if w not in _hashes:
+                _hashes[w] = hash_word(w)
+        return np.array([_hashes[w] for w in words], dtype=np.uint64)
 
 
 def elements(words: list[str]) -> np.ndarray:

@@ -28,7 +28,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _TAGS = re.compile(r"</?[A-Za-z][^<>]{0,60}>")
 _TOKEN = re.compile(r"[^\W_]+")
 _FOLD = str.maketrans(LOOK_ALIKES)
+_DROPPED, _MARKS = re.compile("[" + IGNORABLE + "]"), re.compile("[\u0300-\u036f]+")
 _PLAIN = str.maketrans({"đ": "d", "Đ": "D", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ı": "i"})
+_STROKES = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 
 
 def _latin_word(m: re.Match) -> str:
@@ -40,11 +42,13 @@ def plain(text: str, accents: bool = False) -> str:
     """Lower-cased compatibility form without ignorable characters, look-alikes or (unless ``accents``) accents."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKC", text.translate(_DROP))
-    text = _WORD.sub(_latin_word, text)
+    if _DROPPED.search(text):
+        text = text.translate(_DROP)
+    text = unicodedata.normalize("NFKC", text)
+    if _FOREIGN.search(text):
+        text = _WORD.sub(_latin_word, text)
     if not accents:
-        text = unicodedata.normalize("NFKD", text.translate(_PLAIN))
-        text = "".join(c for c in text if not "̀" <= c <= "ͯ")
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_PLAIN) if _STROKES.search(text) else text))
     return text.lower()
 
 
