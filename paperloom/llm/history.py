@@ -112,10 +112,16 @@ def hash_word(w: str) -> int:
 
 
 def tree_keys(tokens: list[str]) -> np.ndarray:
-    """One 64-bit key for each tree: ``DEPTH`` min-hash bytes, the first the most significant, moved so that signed numbers keep their order."""
+    """One 64-bit key for each tree: ``DEPTH`` min-hash bytes, the first the most significant, moved so that signed numbers keep their order.
+
+    Numbers and words of one or two letters hold no slips, so titles that
+    differ in them are different; a hash of those words is mixed into the keys,
+    and numbered titles of one pattern do not meet.
+    """
     low = np.minimum.reduce([_word_lowest(w) for w in tokens])
     bytes_ = (_mix(low) & np.uint64(0xFF)).astype(np.uint8).reshape(TREES, DEPTH)
-    return (np.ascontiguousarray(bytes_).view(">u8").reshape(TREES).astype(np.uint64) ^ _TOP).view(np.int64)
+    firm = hash_word(" ".join(w for w in tokens if w.isdigit() or len(w) < 3))
+    return (np.ascontiguousarray(bytes_).view(">u8").reshape(TREES).astype(np.uint64) ^ _mix(np.array([firm], dtype=np.uint64)) ^ _TOP).view(np.int64)
 
 
 class Corrector:

@@ -171,6 +171,14 @@ def test_parity_keeps_every_slip_of_a_long_title(spark):
     assert found <= {(i, i + 1) for i in range(0, 40, 2)} and len(found) >= 19
 
 
+def test_numbered_titles_do_not_meet(spark):
+    """A third of all rows follow one pattern with another number each."""
+    rows = spark.range(3000).select(F.col("id").alias("cid"), F.concat(F.lit("annual of report the work "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("canon"))
+    forest = H.HistoryForest(spark)
+    own = write_run(H.forest_rows(rows, {"annual"}), forest.folder, H.TEXT_TREE + 1)
+    assert H.range_search(forest._rows([own]), [own], own, H.prefix_depth()).count() < 300
+
+
 def test_corrector():
     fix = H.Corrector({"market", "form", "from"})
     assert [fix(w) for w in ("markt", "market", "mraket", "fomr", "xyz", "12", "a" * 5000)] == ["market", "market", "market", "form", "xyz", "12", "a" * 5000]
