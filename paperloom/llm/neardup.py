@@ -20,6 +20,7 @@ copies never meet in the join.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,24 +44,20 @@ _SEED = np.random.default_rng(11).integers(1, 2**63, size=(2, SYMBOLS), dtype=np
 _hashes: dict[str, int] = {}
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_hashes) > 1_000_000:
-        _hashes.clear()
-    try:
-        return np.array([_hashes[w] for w in words], dtype=np.uint64)
-    except KeyError:
-        for w in words:
-            if w not in _hashes:
-                _hashes[w] = hash_word(w)
-        return np.array([_hashes[w] for w in words], dtype=np.uint64)
-
-
 def elements(words: list[str]) -> np.ndarray:
     """Hashes of the elements of a bag of words: each word with the number of its repeat."""
-    h = np.sort(_word_hashes(words))
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    repeat = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
-    return _mix(h + repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if len(_hashes) > 1_000_000:
+        _hashes.clear()
+    seen: dict[str, int] = {}
+    out = []
+    for w in words:
+        k = seen.get(w, 0)
+        seen[w] = k + 1
+        h = _hashes.get(w)
+        if h is None:
+            h = _hashes[w] = hash_word(w)
+        out.append(h + k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF if k else h)
+    return _mix(np.array(out, dtype=np.uint64))
 
 
 def vector(bag: np.ndarray) -> np.ndarray:
@@ -88,7 +85,7 @@ def classes(records: DataFrame, no: str = "cand_no", title: str = "title", text:
                 if c and w:
                     bag, c = elements(w), " ".join(c)
                     v = vector(bag)
-                    key = int(bag.sum(dtype=np.uint64)) ^ (hash_word(c) * 3 & 0xFFFFFFFFFFFFFFFF)
+                    key = int(bag.sum(dtype=np.uint64)) ^ int.from_bytes(hashlib.blake2b(c.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
                     out.append((n, key - (1 << 64) if key >> 63 else key, c, " ".join(w)))
                     low.append(v.astype(np.uint8).tobytes())
                     keys.append(v.reshape(SEGMENTS, _WIDTH))
