@@ -7,8 +7,9 @@ maximal independent set of the match graph, found in rounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,10 @@ from paperloom.session import drop_materialised, materialise, tidy
 
 #: Similarity (of 100) from which two titles count as one.
 THRESHOLD = 92
-GRAM = 4
+#: Classes of characters, the most of one that are told apart, and the bits of a title for their counts and for its pairs of characters.
+CLASSES, MOST_COUNTED, COUNT_BITS, PAIR_BITS = 96, 255, 320, 1024
+#: Titles that get their bits at once, and that are compared with at once.
+PIECE, BLOCK = 2_000, 50_000
 
 
 def first_by_key(records: DataFrame, key: str, order: str) -> DataFrame:
@@ -42,60 +46,138 @@ def indel(a: str, b: str) -> int:
     return len(a) + len(b) - 2 * common
 
 
-def _pair_parities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds four 64-bit parities of each string's pairs of neighbouring characters."""
-    for b in batches:
-        words = ([], [], [], [])
-        for s in b["s"]:
-            bits = 0
-            for i in range(len(s) - 1):
-                bits ^= 1 << ((ord(s[i]) * 31 + ord(s[i + 1])) * 0x9E3779B1 >> 12 & 255)
-            for k, w in enumerate(words):
-                x = bits >> 64 * k & 0xFFFFFFFFFFFFFFFF
-                w.append(x - (1 << 64) if x >> 63 else x)
-        yield b.assign(p0=words[0], p1=words[1], p2=words[2], p3=words[3])
+def _characters(strings: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of the strings, and the number of the string each is of."""
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64), np.repeat(np.arange(len(strings)), sizes)
+
+
+def _counts(strings: Sequence[str]) -> np.ndarray:
+    """How often each string has each class of characters; letters, digits and the space are classes of their own."""
+    chars, row = _characters(strings)
+    return np.bincount(row * CLASSES + chars % CLASSES, minlength=len(strings) * CLASSES).reshape(len(strings), CLASSES)
+
+
+def count_steps(titles: DataFrame) -> list[tuple[int, int]]:
+    """At most ``COUNT_BITS`` steps ``(class, k)``, those first that divide the titles ``(s)`` most evenly into such with ``k`` characters of the class and such with fewer."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((CLASSES, MOST_COUNTED), dtype=np.int64)
+        rows = 0
+        for b in batches:
+            for i in range(0, len(b), PIECE):
+                c = np.minimum(_counts(b["s"].iloc[i : i + PIECE].tolist()), MOST_COUNTED)
+                rows += len(c)
+                for k in range(1, int(c.max(initial=0)) + 1):
+                    total[:, k - 1] += (c >= k).sum(axis=0)
+        at, k = np.nonzero(total)
+        yield pd.DataFrame({"at": np.append(at, -1), "k": np.append(k + 1, 0), "n": np.append(total[at, k], rows)})
+
+    found = {(r.at, r.k): r.n for r in titles.select("s").mapInPandas(run, "at int, k int, n bigint").groupBy("at", "k").agg(F.sum("n").alias("n")).collect()}
+    rows = found.pop((-1, 0), 0)
+    return sorted((x for x in found if found[x] < rows), key=lambda x: (abs(2 * found[x] - rows), x))[:COUNT_BITS]
+
+
+def signatures(titles: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """``(o, s, n, bits)`` of titles ``(o, s)``: the length, and ``COUNT_BITS`` bits of the steps, then ``PAIR_BITS`` parities of the pairs of neighbouring characters."""
+    at, k = np.array([c for c, _ in steps], dtype=np.int64), np.array([k for _, k in steps], dtype=np.int64)
+
+    def bits(strings: list[str]) -> np.ndarray:
+        out = np.zeros((len(strings), COUNT_BITS + PAIR_BITS), dtype=np.uint8)
+        out[:, : len(at)] = np.minimum(_counts(strings), MOST_COUNTED)[:, at] >= k
+        chars, row = _characters(strings)
+        pair = ((chars[:-1] * 31 + chars[1:]) * 0x9E3779B1 >> 12) % PAIR_BITS
+        pair = (row[:-1] * PAIR_BITS + pair)[row[:-1] == row[1:]]
+        out[:, COUNT_BITS:] = np.bincount(pair, minlength=len(strings) * PAIR_BITS).reshape(len(strings), PAIR_BITS) & 1
+        return np.packbits(out, axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), PIECE):
+                part = b.iloc[i : i + PIECE]
+                yield part.assign(n=part["s"].str.len().astype(np.int32), bits=pd.Series([x.tobytes() for x in bits(part["s"].tolist())], index=part.index, dtype=object))
+
+    return titles.select("o", "s").mapInPandas(run, "o bigint, s string, n int, bits binary")
+
+
+def _blocks(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]]]:
+    """``(o, n, bits, strings)`` of the signatures in ``files``, some thousands at a time, each file sorted by ``n``."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
+
+    width = (COUNT_BITS + PAIR_BITS) // 8
+    for file in files:
+        fs, place = FileSystem.from_uri(file)
+        with fs.open_input_file(place) as f:
+            for b in pq.ParquetFile(f).iter_batches(BLOCK, columns=["o", "s", "n", "bits"]):
+                fixed = b["bits"].cast(pa.binary(width))
+                words = np.frombuffer(fixed.buffers()[1], dtype=np.uint64)[fixed.offset * width // 8 :][: len(b) * width // 8].reshape(len(b), -1)
+                yield b["o"].to_numpy(), b["n"].to_numpy(), words, lambda at, s=b["s"]: s.take(at).to_pylist()
 
 
 def similar_pairs(titles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``(a, b)``, a < b, of distinct token-sorted titles ``(o, s)`` with ``100 * (1 - indel / (len a + len b)) >= threshold``; exact.
 
-    An edit touches at most one of the non-overlapping chunks of ``GRAM``
-    characters of a title, so of similar titles the shorter shows at least one
-    of its ``budget + 1`` rarest chunks somewhere in the longer.  Those are
-    joined, within the length range and as far as the parities of their
-    character pairs allow (an edit flips three bits at most); a bounded edit
-    distance decides most of what meets, the rest is computed exactly.  Titles
-    too short to have so many chunks (six or seven characters at the usual
-    threshold) meet all titles of the lengths that can be similar.
+    An edit changes one character count by one, so it flips one bit at most of
+    those that say whether a title has ``k`` of a character, and three at most
+    of the parities of its pairs of neighbours.  Titles are written sorted by
+    length; each task compares its share with all of the lengths that can be
+    similar, two words of bits for every pair and the others for what is left,
+    then the strings.  So the comparisons grow with the square of the titles,
+    but a pair only becomes a row when it is known to be similar.
     """
-    t = materialise(titles.where("s <> ''").select("o", "s").mapInPandas(_pair_parities, "o bigint, s string, p0 bigint, p1 bigint, p2 bigint, p3 bigint"), "titles").withColumn("n", F.length("s"))
-    budget = (100 - threshold) / 100.0
-    t = t.withColumn("most", F.floor(F.col("n") * 2 * budget / (1 - budget) + 1e-9).cast("int"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.col("n") / GRAM) - 1).cast("int"))
-    chunks = t.select("o", "s", "n", "most", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("s", i * GRAM + 1, F.lit(GRAM))))).alias("g"))
-    grams = t.select("o", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - GRAM + 1)), lambda i: F.substring("s", i, F.lit(GRAM))))).alias("g"))
-    count = grams.groupBy("g").agg(F.count("*").alias("k"))
-    rare = chunks.join(count, "g").groupBy("o", "most", "n").agg(F.array_sort(F.collect_list(F.struct("k", "g"))).alias("gs"))
-    bits = ["p0", "p1", "p2", "p3"]
-    rare = rare.select("o", "n", F.explode(F.transform(F.slice("gs", 1, F.col("most") + 1), lambda e: e["g"])).alias("g")).join(t.select("o", *bits), "o").toDF("x", "nx", "g", *(f"x{b}" for b in bits))
-    grams = grams.join(t.select("o", *bits), "o").toDF("y", "ny", "g", *(f"y{b}" for b in bits))
-    apart = " + ".join(f"bit_count(x{b} ^ y{b})" for b in bits)
-    close = f"(ny - nx) * 100 <= (nx + ny) * {100 - threshold} and ({apart}) * 100 <= 3 * (nx + ny) * {100 - threshold}"
-    met = rare.join(grams, "g").where(f"x <> y and nx <= ny and (nx < ny or x < y) and {close}").select("x", "y").distinct()
-    short = t.where(F.greatest(F.lit(1), F.floor(F.col("n") / GRAM)) <= F.col("most")).select(F.explode(F.sequence("n", F.col("n") + F.col("most"))).alias("ny"), F.col("o").alias("x"), F.col("n").alias("nx"), *(F.col(b).alias(f"x{b}") for b in bits))
-    long = t.select(F.col("n").alias("ny"), F.col("o").alias("y"), *(F.col(b).alias(f"y{b}") for b in bits))
-    met = met.unionByName(short.join(long, "ny").where(f"x <> y and (nx < ny or x < y) and {close}").select("x", "y")).distinct()
-    both = met.join(t.select(F.col("o").alias("x"), F.col("s").alias("sx")), "x").join(t.select(F.col("o").alias("y"), F.col("s").alias("sy")), "y")
-    room = F.floor((F.length("sx") + F.length("sy")) * budget + 1e-9).cast("int")
-    both = both.withColumn("room", room).withColumn("lev", F.expr("levenshtein(sx, sy, room)")).where("lev >= 0")
+    t = titles.where("s <> ''").select("o", "s")
+    t = signatures(t, count_steps(t))
+    t = materialise(t.repartitionByRange("n", "o").sortWithinPartitions("n"), "signatures")
+    files, free, words = sorted(t.inputFiles()), 100 - threshold, COUNT_BITS // 64
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yes = [2 * lev <= room or 100 * indel(x, y) <= (100 - threshold) * (len(x) + len(y)) for x, y, lev, room in zip(b["sx"], b["sy"], b["lev"], b["room"], strict=True)]
-            yield b.loc[yes, ["x", "y"]]
-
-    found = both.select("x", "y", "sx", "sy", "lev", "room").mapInPandas(run, "x bigint, y bigint")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            b = b.sort_values("n", kind="stable")
+            xs, strings = b["o"].to_numpy(), b["s"].tolist()
+            nx, bx = b["n"].to_numpy(), np.frombuffer(b"".join(b["bits"]), dtype=np.uint64).reshape(len(b), -1)
+            lengths, first = np.unique(nx, return_index=True)
+            for ys, ny, by, text in _blocks(files):
+                lead = np.ascontiguousarray(by[:, :2].T)
+                apart, more = np.empty(len(ny), dtype=np.uint8), np.empty(len(ny), dtype=np.uint8)
+                flips = np.empty(len(ny), dtype=np.uint64)
+                met: list[tuple[np.ndarray, np.ndarray]] = []
+
+                def similar(met: list[tuple[np.ndarray, np.ndarray]] = met, ys=ys, ny=ny, by=by, text=text) -> pd.DataFrame:
+                    i, j = (np.concatenate(x) for x in zip(*met, strict=True))
+                    met.clear()
+                    room = (nx[i] + ny[j]) * free // 100
+                    ok = np.bitwise_count(bx[i, :words] ^ by[j, :words]).sum(axis=1) <= room
+                    i, j, room = i[ok], j[ok], room[ok]
+                    ok = (np.bitwise_count(bx[i, words:] ^ by[j, words:]).sum(axis=1) <= 3 * room) & ((nx[i] < ny[j]) | (xs[i] < ys[j]))
+                    i, j, room = i[ok], j[ok], room[ok]
+                    yes = [indel(strings[p], y) <= r for p, y, r in zip(i.tolist(), text(j), room.tolist(), strict=True)]
+                    return pd.DataFrame({"a": np.minimum(xs[i], ys[j])[yes], "b": np.maximum(xs[i], ys[j])[yes]})
+
+                waiting = 0
+                for n, start, stop in zip(lengths.tolist(), first.tolist(), [*first[1:].tolist(), len(b)], strict=True):
+                    low, high = np.searchsorted(ny, n, "left"), np.searchsorted(ny, n * (100 + free) // threshold, "right") if threshold > 0 else len(ny)
+                    if low >= high:
+                        continue
+                    (one, two), d, e, x = lead[:, low:high], apart[: high - low], more[: high - low], flips[: high - low]
+                    room = np.minimum((n + ny[low:high].astype(np.int64)) * free // 100, 128).astype(np.uint8)
+                    for i in range(start, stop):
+                        np.bitwise_count(np.bitwise_xor(one, bx[i, 0], out=x), out=d)
+                        np.bitwise_count(np.bitwise_xor(two, bx[i, 1], out=x), out=e)
+                        np.add(d, e, out=d)
+                        j = np.flatnonzero(d <= room) + low
+                        if len(j):
+                            met.append((np.full(len(j), i), j))
+                            waiting += len(j)
+                        if waiting > 100_000:
+                            yield similar()
+                            waiting = 0
+                if waiting:
+                    yield similar()
+
+    tasks = 4 * int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return t.repartition(tasks, "o").mapInPandas(run, "a bigint, b bigint")
 
 
 def greedy_leaders(members: DataFrame) -> DataFrame:

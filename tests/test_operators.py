@@ -110,6 +110,21 @@ def test_duplicate_never_leads(spark):
     assert dedup.deduplicate(df.where("ord < 0")).count() == 0
 
 
+def test_similar_pairs_of_titles_of_the_same_phrases(spark):
+    """No pair is a row before it is known to be similar, and every similar one is found at any length."""
+    rnd = random.Random(4)
+    phrases = ["age labels", "work values", "peer trust", "shift loyalty", "open offices", "rural japan", "a diary study", "tea estates", "\U0001f600 é"]
+    s = {" ".join(rnd.choice(phrases) for _ in range(rnd.choice([1, 6, 8]))) for _ in range(250)} | {"a", "ab", "abc", "abcdef", "abxcdef", "aaaaaaaaaaaaaaaaaaaaaaaaaa"}
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(700))
+    s |= {long, "z" * 55 + long[:650], "z" * 60 + long[:640], long[:350] + long[450:], long * 2, long * 2 + "q" * 110, long * 2 + "q" * 125}
+    data = list(enumerate(sorted(s)))
+    found = dedup.similar_pairs(spark.createDataFrame(data, "o bigint, s string").repartition(3))
+    got = [tuple(r) for r in found.collect()]
+    want = {(a, b) for a, x in data for b, y in data if a < b and 100 * dedup.indel(x, y) <= 8 * (len(x) + len(y))}
+    assert len(got) == len(set(got)) and set(got) == want and any(len(data[a][1]) > 600 for a, _ in want)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_indel():
     assert dedup.indel("lewenstein", "levenshtein") == 3 and dedup.indel("", "ab") == 2
 
