@@ -3,6 +3,7 @@ import random
 from paperloom.llm import neardup as N
 from paperloom.llm.history import Corrector
 from paperloom.llm.textforms import same_title, text_words, title_tokens
+from paperloom.session import materialise
 
 SCHEMA = "cand_no bigint, title string, abstract string, a string, rep string"
 WORDS = [f"{a}{b}" for a in ("lan", "mor", "tis", "vek", "dol", "han", "pri", "sul") for b in ("ta", "re", "mi", "on", "ed", "ing", "or", "al", "ver", "ux")]
@@ -98,3 +99,19 @@ def test_two_slips_of_one_word(spark):
     data = [(i, f"cutters of {chr(97 + i) * 6} {chr(98 + i) * 5}", a, "", "") for i in range(24)]
     data += [(100, "cuttnrs of the qqaabb zzyyxx", a, "", ""), (101, "Cutterrs of the qqaabb zzyyxx", a + " x", "", "")]
     assert {tuple(r) for r in N.row_pairs(spark.createDataFrame(data, SCHEMA)).collect()} == {(100, 101)}
+
+
+def test_only_records_of_like_titles_are_stored_with_their_texts(spark, monkeypatch):
+    """One title in fifty is met by another; the texts of the others are not written or shuffled."""
+    data = [(i, " ".join([*random.Random(i).sample(WORDS, 6), f"no{i}"]), " ".join(random.Random(i).sample(WORDS, 30)), "", "") for i in range(200)]
+    data += [(500 + i, data[i][1].upper(), data[i][2] + " tail", "", "") for i in range(4)]
+    held = {}
+
+    def spy(df, name="t"):
+        out = materialise(df, name)
+        held[name] = out.count() if "words" in out.columns or "abstract" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(N, "materialise", spy)
+    assert {tuple(r) for r in N.row_pairs(spark.createDataFrame(data, SCHEMA)).collect()} == {(i, 500 + i) for i in range(4)}
+    assert held["wanted"] == sum(held.values()) == 8

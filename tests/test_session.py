@@ -1,6 +1,8 @@
 import os
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom import session
 from paperloom.session import materialise, shared_dir, tidy
@@ -56,3 +58,16 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_materialise_leaves_no_shuffle_files(spark):
+    def files():
+        return [f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f]
+
+    before = set(files())
+    t = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while set(files()) - before and time.time() < end:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not set(files()) - before and t.count() == 7  # counting makes files of its own
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
